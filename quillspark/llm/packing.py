@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import chunks, staged
 
-SEQUENCE, END_ID, PIECES_PER_TASK, CACHE = 4096, 1, 100_000, 600_000
+SEQUENCE, END_ID, PIECES_PER_TASK, CACHE = 4096, 1, 100_000, 1_200_000
 
 
 class WordTokenizer:
@@ -86,12 +86,22 @@ class WordTokenizer:
         return [np.fromiter(chain.from_iterable(f), "<u4") for f in found]
 
 
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def word_tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer of this process: words that a worker learns in one task serve its next ones."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
+
+
 def _pieces(path: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        tok = WordTokenizer(path)
+        tok = word_tokenizer(path)
         for batch in batches:
             rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
             for part in chunks(rows, lambda r: len(r[1] or ""), 1 << 21):
