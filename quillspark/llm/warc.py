@@ -170,7 +170,8 @@ def read_warc(spark: SparkSession, path: str, segment: int = SEGMENT) -> DataFra
             if hops <= last:
                 then = jump.select("path", F.col("off").alias("leave"), F.col("leave").alias("far"))
                 jump = staged(jump.join(then, ["path", "leave"], "left").select("path", "off", F.coalesce("far", "leave").alias("leave")), "jump")
-    entries = reached.select("path", F.floor(F.col("off") / segment).cast("long").alias("segment"), F.col("off").alias("entry"))
+    # the first offset reached is a segment's entry; behind it may stand the file's end or a broken chain's last target
+    entries = reached.groupBy("path", F.floor(F.col("off") / segment).cast("long").alias("segment")).agg(F.min("off").alias("entry"))
     cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     chained = found.join(entries, ["path", "segment"]).select("path", "segment", "off", "next", "entry", *cols)
     chained = chained.repartition("path", "segment").sortWithinPartitions("path", "segment", "off")

@@ -118,6 +118,13 @@ def test_warc_rejects_magic_in_payloads(spark, tmp_path):
         assert got[4].payload_digest == got[1].payload_digest == warc.base32_sha1("<p>é</p>".encode()) and got[4].payload_bytes == 9
 
 
+def test_warc_chains_cross_segments(spark, tmp_path):
+    pages = spark.range(120).selectExpr("id as page_id", "'u' as url", "repeat(concat('x', id), 20 + id % 7) as html").coalesce(1)
+    warc.write_warc(pages, f"file://{tmp_path}/a")
+    for segment in (900, 5000, 40_000):
+        assert sorted(r.page_id for r in warc.read_warc(spark, f"file://{tmp_path}/a", segment).collect()) == list(range(120))
+
+
 def test_toxicity(spark):
     automaton = toxicity.TrieAutomaton(["idiot", "moron", "sad", "lowei*"])
     assert [automaton.match(w) for w in ("idiot", "idlot", "idot", "iidiot", "idxxot", "said", "sad", "loweichen")] == [(0, 0), (1, 0), (1, 0), (1, 0), None, None, (0, 2), (0, 3)]
