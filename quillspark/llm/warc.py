@@ -53,7 +53,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         html = [h or b"" for h in batch.column(2).cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array([len(h) for h in html], pa.int64()), pa.array([base32_sha1(h) for h in html]), pa.array([zlib.compress(h, 1) for h in html], pa.binary())],
+            [batch.column(0), batch.column(1), pa.array([len(h) for h in html], pa.int64()), pa.array([base32_sha1(h) for h in html]), pa.array([zlib.compress(h, 6) for h in html], pa.binary())],
             names=["page_id", "url", "size", "digest", "packed"],
         )
 
