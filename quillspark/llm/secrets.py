@@ -78,14 +78,16 @@ def scan_secrets(documents: DataFrame, fdr: float = FDR) -> DataFrame:
 
     text = F.col("text")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    nothing = "array<struct<kind:int,gap:int,size:int,part:string>>"
+    kinds = "array<struct<kind:int,gap:int,size:int,part:string>>"
     found = [_found(text, ASSIGN, 2, 0), _found(text, ACCESS, 0, 1), _found(text, HEX, 0, 2, HEX[:-1] + "{24,}"), _found(text, TOKEN, 0, 3, TOKEN)]
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.concat(*(F.coalesce(f, F.array().cast(nothing)) for f in found)).alias("found"))
-    rows = rows.select("row", "doc_id", F.posexplode_outer("found").alias("at", "m")).select("row", "doc_id", "at", "m.*")
+    # one entry without a kind stands for the document itself, so documents without spans stay and rows are numbered in a single pass
+    own = F.array(F.struct(F.lit(None).alias("kind"), F.lit(0).alias("gap"), F.lit(0).alias("size"), F.lit(None).alias("part"))).cast(kinds)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.concat(own, *(F.coalesce(f, F.array().cast(kinds)) for f in found)).alias("found"))
+    rows = rows.select("row", "doc_id", F.posexplode("found").alias("at", "m")).select("row", "doc_id", "at", "m.*")
     stop = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("row", "kind").orderBy("at"))
     least = F.when(F.col("kind") == 0, 6).when(F.col("kind") == 2, 24).otherwise(20)
     spans = rows.withColumn("stop", stop).where(F.col("kind").isNull() | (F.length("part") >= least)).select("row", "doc_id", "kind", (F.col("stop") - F.col("size")).alias("start"), "stop", "part")
-    spans = staged(spans.unionByName(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.lit(None).cast("int").alias("kind"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("stop"), F.lit(None).cast("string").alias("part"))), "spans")
+    spans = staged(spans, "spans")
     tested = _battery(spans.where("kind = 3")).select("row", "start", "stop", "band", "cell")
     cells = tested.groupBy("band", "cell").agg(F.count(F.lit(1)).alias("c"))
     upto = Window.partitionBy("band").orderBy(F.desc("cell"))
