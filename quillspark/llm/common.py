@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.column import Column
 
@@ -42,6 +46,17 @@ def ascii_lower(c: Column) -> Column:
     return F.when(c.rlike(r"[\p{IsUppercase}\p{Lt}&&[^A-Z]]"), F.translate(c, UPPER, LOWER)).otherwise(F.lower(c))
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut record batches into runs of rows whose texts have about `limit` bytes, one row at least; only a run at a time becomes Python objects."""
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + limit, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def chunks(rows, size_of, limit: int = 1 << 20):
     """Cut a list into runs of about `limit` bytes, one row at least."""
     run, total = [], 0

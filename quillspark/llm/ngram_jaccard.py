@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import chunks, staged
+from .common import slices, staged
 from .graph import components
 
 WORDS, PERCENT = 5, 80
@@ -38,7 +38,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(base: np.uint64, n: int) -> np.ndarray:
     key = str(base)
     if key not in _powers or len(_powers[key]) < n:
-        full = np.full(max(n, 1 << 21), base, dtype=np.uint64)
+        full = np.full(max(n, 1 << 20), base, dtype=np.uint64)
         full[0] = 1
         _powers[key] = np.multiply.accumulate(full)
     return _powers[key][:n]
@@ -93,11 +93,8 @@ def bitmap_of(hashes: np.ndarray) -> bytes:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
-    for batch in batches:
-        ids = batch.column(0).to_pylist()
-        texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        for run in chunks(list(zip(ids, texts)), lambda r: len(r[1])):
-            yield [r[0] for r in run], shingle_sets([r[1] for r in run])
+    for batch in slices(batches, 1, 1 << 19):
+        yield batch.column(0).to_pylist(), shingle_sets([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +122,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
         held += sets
         n_held += sum(map(len, sets))
-        if n_held > 1 << 20:
+        if n_held > 1 << 19:
             flush()
     flush()
     if counts.any():
