@@ -17,9 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import chunks
+from .common import slices
 
-SAMPLE_DOCS, SPAN, LEXICON, BITS, CACHE = 400, 60, 1000, 16, 500_000
+SAMPLE_DOCS, SPAN, LEXICON, BITS, CACHE, GROUP = 400, 60, 1000, 16, 250_000, 4096
 FOLDS, HELD = 4, 2
 UND = "und"
 
@@ -48,8 +48,11 @@ class Crf:
         return own
 
     def emissions(self, words: list[str]) -> np.ndarray:
+        """Scores of each word, made for GROUP words at a time so that lists of features stay short."""
         if not words:
             return np.zeros((0, len(self.labels)), np.float32)
+        if len(words) > GROUP:
+            return np.concatenate([self.emissions(words[lo : lo + GROUP]) for lo in range(0, len(words), GROUP)])
         feats = [self.features(w) for w in words]
         sizes = np.array([len(f) for f in feats])
         flat = np.fromiter((x for f in feats for x in f), np.int64, sizes.sum())
@@ -189,38 +192,37 @@ def _predict(model: Crf):
         n = len(model.labels)
         known: dict[str, int] = memory.get("known", {})
         table = memory.get("table", np.zeros((1 << 16, n), np.float32))
-        for batch in batches:
-            rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()))
-            for part in chunks(rows, lambda r: len(r[2] or ""), 1 << 20):
-                words = [words_of(r[2] or "") if n else [] for r in part]
-                if len(known) > CACHE:
-                    known = {}
-                ids = [list(map(known.get, w)) for w in words]
-                fresh = list(dict.fromkeys(w for ws, own in zip(words, ids) if None in own for w, k in zip(ws, own) if k is None))
-                if fresh:
-                    lo = len(known)
-                    while lo + len(fresh) > len(table):
-                        table = np.concatenate((table, np.zeros_like(table)))
-                    table[lo : lo + len(fresh)] = model.emissions(fresh)
-                    known.update(zip(fresh, range(lo, lo + len(fresh))))
-                    ids = [[known[w] for w in ws] if None in own else own for ws, own in zip(words, ids)]
-                sizes = np.array([len(w) for w in words])
-                flat = np.fromiter((k for own in ids for k in own), np.int64, sizes.sum())
-                first = np.zeros(len(flat), bool)
-                begin = np.cumsum(sizes) - sizes
-                first[begin[sizes > 0]] = True
-                post = model.posteriors(table[flat], first)
-                langs, scores = [], []
-                for k, (lo, size) in enumerate(zip(begin.tolist(), sizes.tolist())):
-                    share = post[lo : lo + size].mean(0) if size else None
-                    if share is None or not any(map(str.isalpha, part[k][2])):
-                        langs.append(UND)
-                        scores.append(0.0)
-                    else:
-                        langs.append(model.labels[int(share.argmax())])
-                        scores.append(min(1.0, float(share.max())))
-                memory.update(known=known, table=table)
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.bool_()), pa.array(langs), pa.array(scores)], names=["doc_id", "held_out", "lang_pred", "score"])
+        for batch in slices(batches, 2):
+            part = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()))
+            words = [words_of(r[2] or "") if n else [] for r in part]
+            if len(known) > CACHE:
+                known = {}
+            ids = [list(map(known.get, w)) for w in words]
+            fresh = list(dict.fromkeys(w for ws, own in zip(words, ids) if None in own for w, k in zip(ws, own) if k is None))
+            if fresh:
+                lo = len(known)
+                while lo + len(fresh) > len(table):
+                    table = np.concatenate((table, np.zeros_like(table)))
+                table[lo : lo + len(fresh)] = model.emissions(fresh)
+                known.update(zip(fresh, range(lo, lo + len(fresh))))
+                ids = [[known[w] for w in ws] if None in own else own for ws, own in zip(words, ids)]
+            sizes = np.array([len(w) for w in words])
+            flat = np.fromiter((k for own in ids for k in own), np.int64, sizes.sum())
+            first = np.zeros(len(flat), bool)
+            begin = np.cumsum(sizes) - sizes
+            first[begin[sizes > 0]] = True
+            post = model.posteriors(table[flat], first)
+            langs, scores = [], []
+            for k, (lo, size) in enumerate(zip(begin.tolist(), sizes.tolist())):
+                share = post[lo : lo + size].mean(0) if size else None
+                if share is None or not any(map(str.isalpha, part[k][2])):
+                    langs.append(UND)
+                    scores.append(0.0)
+                else:
+                    langs.append(model.labels[int(share.argmax())])
+                    scores.append(min(1.0, float(share.max())))
+            memory.update(known=known, table=table)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.bool_()), pa.array(langs), pa.array(scores)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return run
 
