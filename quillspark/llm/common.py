@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.column import Column
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BATCH_MB, BATCH_KEY = 4, "spark.sql.execution.arrow.maxBytesPerBatch"
 _own_dirs: dict[str, str] = {}
+_kept: dict[tuple[str, str], object] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -41,6 +44,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def thin_batches(df: DataFrame) -> DataFrame:
+    """df; from now on its session hands rows to Python in Arrow batches of about BATCH_MB, whatever the rows' size, for both sides hold a batch whole."""
+    df.sparkSession.conf.set(BATCH_KEY, f"{BATCH_MB}m")
+    return df
+
+
+def kept(operator: str, key: str, make: Callable[[], object]) -> object:
+    """What a worker process keeps for the next tasks of an operator; the first task of another one frees it."""
+    if (operator, key) not in _kept:
+        _kept[operator, key] = make()
+    return _kept[operator, key]
+
+
+def give_back() -> None:
+    """Return free memory of this process to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def free_others(operator: str) -> None:
+    for owned in [k for k in _kept if k[0] != operator]:
+        del _kept[owned]
+
+
+def lean(operator: str, run: Callable) -> Callable:
+    """run (over record batches), begun without what other operators keep in the worker and ended by giving memory back."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_others(operator)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return go
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else; the JVM's lower() serves texts in which nothing else would change."""
     return F.when(c.rlike(r"[\p{IsUppercase}\p{Lt}&&[^A-Z]]"), F.translate(c, UPPER, LOWER)).otherwise(F.lower(c))

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices
+from .common import lean, slices, thin_batches
 
 SAMPLE_DOCS, SPAN, LEXICON, BITS, CACHE, GROUP = 400, 60, 1000, 16, 250_000, 4096
 FOLDS, HELD = 4, 2
@@ -235,7 +235,7 @@ def identify_languages(documents: DataFrame, model: Crf | None = None) -> DataFr
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = model or fit_crf(docs)
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
+    return thin_batches(docs).select("doc_id", held_out().alias("held_out"), "text").mapInArrow(lean("language_id", _predict(model)), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 REJECT_BELOW = 0.3
@@ -255,4 +255,4 @@ def with_known_language(documents: DataFrame, reject_below: float = REJECT_BELOW
             good = [lang != UND and score >= reject_below for out in predict(iter([plain])) for lang, score in zip(out.column(2).to_pylist(), out.column(3).to_pylist())]
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return thin_batches(documents).mapInArrow(lean("language_id", run), documents.schema)

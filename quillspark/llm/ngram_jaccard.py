@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import slices, staged
+from .common import lean, slices, staged, thin_batches
 from .graph import components
 
 WORDS, PERCENT = 5, 80
@@ -265,7 +265,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int)
     """The pairs whose sets meet the threshold, by exact intersection of their sorted hash arrays."""
     need = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     ids = reps.join(need, "cls", "left_semi").select("doc_id")
-    arrays = staged(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_arrays, "cls long, hashes binary").dropDuplicates(["cls"]), "arrays")
+    arrays = staged(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(lean("ngram_jaccard", _arrays), "cls long, hashes binary").dropDuplicates(["cls"]), "arrays")
     wide = pairs.join(arrays.select(F.col("cls").alias("a"), F.col("hashes").alias("ha")), "a").join(arrays.select(F.col("cls").alias("b"), F.col("hashes").alias("hb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,14 +289,14 @@ def ngram_jaccard_components(documents: DataFrame, percent: int = PERCENT) -> Da
     Null, empty and blank texts have no shingles, class_id null, and are their own component. Repeated rows share a class; rows with the
     same doc_id and different texts are treated by their texts. An empty table gives an empty result. Other columns are ignored.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = staged(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, cls long, bits binary, block int"), "signatures")
+    docs = thin_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    marked = staged(docs.mapInArrow(lean("ngram_jaccard", _signatures), "doc_id long, n_shingles long, cls long, bits binary, block int"), "signatures")
     rows = marked.where("block is null")
     levels = _levels(marked)
     reps = staged(rows.where("cls is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "n_shingles")).alias("r"), F.count(F.lit(1)).alias("class_rows"), F.min("doc_id").alias("low")).select("cls", F.coalesce("low", "r.doc_id").alias("doc_id"), "class_rows"), "classes")
 
     known = docs.where("doc_id is not null").join(reps.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
-    prefixes = known.mapInArrow(_prefixes(levels, percent), "key long, cls long, n int")
+    prefixes = known.mapInArrow(lean("ngram_jaccard", _prefixes(levels, percent)), "key long, cls long, n int")
     by_key = Window.partitionBy("key")
     hits = prefixes.withColumns({"lo": F.min("cls").over(by_key), "hi": F.max("cls").over(by_key)}).where("lo <> hi").select("key", "cls", "n")
     hits = staged(hits.dropDuplicates(["key", "cls"]), "hits")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import chunks, staged
+from .common import chunks, kept, lean, staged
 
 SEQUENCE, END_ID, PIECES_PER_TASK, CACHE = 4096, 1, 100_000, 1_200_000
 
@@ -86,14 +86,9 @@ class WordTokenizer:
         return [np.fromiter(chain.from_iterable(f), "<u4") for f in found]
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
 def word_tokenizer(path: str) -> WordTokenizer:
     """The tokenizer of this process: words that a worker learns in one task serve its next ones."""
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    return kept("packing", path, lambda: WordTokenizer(path))
 
 
 def _pieces(path: str, limit: int):
@@ -167,6 +162,6 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, limit: int = SEQUE
     Texts of any length are cut into pieces of `limit` ids. Other columns are ignored.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = staged(docs.mapInArrow(_pieces(tokenizer_path, limit), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    pieces = staged(docs.mapInArrow(lean("packing", _pieces(tokenizer_path, limit)), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
     tasks = max(1, -(-pieces.count() // pieces_per_task))
     return pieces.coalesce(tasks).mapInArrow(_pack(limit), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
