@@ -4,6 +4,9 @@ Values are found by pattern, validated (Luhn for cards, modulus 97 for IBANs, ra
 keyed Feistel network within their format: a round adds a keyed hash of one half to the letters and digits of the other, each in its own
 radix, so punctuation, case and length stay; dates run through a network over days. Check digits are made anew. The permutation depends on the key and
 kind alone, so equal values stay linked across documents and different values stay apart.
+Cards and IBANs are looked for from each group of a run of digits (capitals) that single spaces or hyphens (spaces) hold together, longest first, so
+numbers beside a value don't hide it. One run of groups in ten has a valid Luhn sum by chance, so long rows of numbers lose some of them to pseudonyms,
+and of overlapping valid runs that no issuer uses the leftmost is taken, which can be the wrong one.
 """
 
 from __future__ import annotations
@@ -14,18 +17,25 @@ from pyspark.sql.column import Column
 ROUNDS = 8
 DAY_SIDE, FIRST_DAY = 270, "1900-01-01"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-#: Kinds in the order in which they are tried; a value belongs to the first whose pattern it has as a whole and whose validation it passes.
+_DIGIT = r"[ .()-]{0,2}\d"
+#: The longest of 8 to 15 digits (spelt out, as Java doesn't bound the length of a repeated group in a look-behind); what follows may be another number.
+_PLUS = r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)(?<=\+" + _DIGIT * 8 + f"(?:{_DIGIT})?" * 7 + ")"
+#: Candidates of each kind in the order in which they are tried; a part of a text belongs to the first kind that finds a valid value there. Those of
+#: iban and card are runs of groups, which `_in_run` searches. An international number that ends its run of digits goes before cards, others after.
 PATTERNS = {
     "email": r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?=(?: ?[A-Z0-9]){11})[A-Z0-9]*+(?![a-z])(?: [A-Z0-9]++(?![a-z]))*+",
     "ip": rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\d|\.\d)",
     "date": r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d/])\d{2}/\d{2}/\d{4}(?![\d/])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[.-]\d{4}(?!\d)|(?<![\w-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
-    "card": r"(?<![A-Za-z0-9_.-])\d(?:[ -]?\d){12,18}(?![A-Za-z0-9_-])",
+    "phone": _PLUS + r"(?![ .-]?\d)|(?<![\w(])\(\d{3}\) ?\d{3}[.-]\d{4}(?!\d)|(?<![\w-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
+    "card": r"(?<![A-Za-z0-9_.-])(?=\d(?:[ -]?\d){12})\d++(?![A-Za-z_]|-(?!\d))(?:[ -]\d++(?![A-Za-z_]|-(?!\d)))*+",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-
+PASSES = (*PATTERNS.items(), ("phone", _PLUS))
+ANY = "|".join(f"(?:{p})" for _, p in PASSES)
+#: First digits and lengths that card issuers use; of several valid cards in one run of digits these are taken first.
+ISSUED = r"^(?:4(?:\d{12}|\d{15}|\d{18})|5[1-5]\d{14}|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)\d{12}|3[47]\d{13}|3(?:0[0-5]|[689]\d)\d{11}|6\d{15,18}|35\d{14,17})$"
+PIECES = "array<struct<v:string,k:string>>"
 
 def _number(key: str, kind: str, step: Column, half: Column, at: Column) -> Column:
     """The at-th of 16 keyed 16-bit numbers."""
@@ -67,7 +77,7 @@ def _card(v: Column, key: str) -> Column:
 
 def _iban(v: Column, key: str) -> Column:
     country = F.substring(v, 1, 2)
-    made = lambda b: F.concat(country, F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b)
+    made = lambda b: F.concat(country, F.lpad((98 - _mod97(F.concat(F.replace(b, F.lit(" ")), country, F.lit("00")))).cast("string"), 2, "0"), b)
     return F.get(F.transform(F.array(feistel(F.substring(v, F.lit(5), F.length(v)), key, "iban")), made), F.lit(0))
 
 
@@ -106,22 +116,88 @@ def _email(v: Column, key: str) -> Column:
     return F.concat(feistel(F.substring_index(v, "@", 1), key, "email"), F.lit("@"), F.substring_index(v, "@", -1))
 
 
-def _kind(v: Column) -> Column:
-    digits = F.regexp_replace(v, "[^0-9]", "")
+def _piece(v: Column, k: str = "") -> Column:
+    return F.struct(v.alias("v"), F.lit(k).alias("k"))
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value) with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _merged(pieces: Column) -> Column:
+    """Neighbouring pieces without a kind made one."""
+    begin = F.struct(F.array().cast(PIECES).alias("done"), F.lit("").alias("open"))
+    both = lambda acc: F.concat(acc.done, F.when(acc.open == "", F.array().cast(PIECES)).otherwise(F.array(_piece(acc.open))))
+    step = lambda acc, p: F.when(p.k == "", F.struct(acc.done.alias("done"), F.concat(acc.open, p.v).alias("open"))).otherwise(F.struct(F.concat(both(acc), F.array(p)).alias("done"), F.lit("").alias("open")))
+    return F.aggregate(pieces, begin, step, both)
+
+
+def _in_run(run: Column, kind: str, group: str, most: int, valid) -> Column:
+    """Pieces of a run of groups: from each group on, the longest valid value of up to `most` groups; else the next group is tried."""
+    own = lambda groups, i, n: F.regexp_replace(F.array_join(F.slice(groups, i + 1, n), ""), "^[ -]", "")
+    longest = lambda groups, i: F.get(F.filter(F.transform(F.reverse(F.sequence(F.lit(1), F.least(F.lit(most), F.size(groups) - i))), lambda n: F.struct(own(groups, i, n).alias("v"), n.alias("n"))), lambda c: valid(c.v, run)), F.lit(0))
+    lead = lambda g: F.regexp_extract(g, "^[ -]?", 0)
+    begin = F.struct(F.array().cast(PIECES).alias("done"), F.lit(0).alias("skip"))
+
+    def step(acc: Column, c: Column) -> Column:
+        hit = F.struct(F.concat(acc.done, F.array(_piece(lead(c.g)), _piece(c.best.v, kind))).alias("done"), (c.best.n - 1).alias("skip"))
+        return F.when(acc.skip > 0, F.struct(acc.done.alias("done"), (acc.skip - 1).alias("skip"))).when(c.best.isNotNull(), hit).otherwise(F.struct(F.concat(acc.done, F.array(_piece(c.g))).alias("done"), F.lit(0).alias("skip")))
+
+    found = _bound(F.regexp_extract_all(run, F.lit(group), F.lit(0)), lambda groups: F.transform(groups, lambda g, i: F.struct(g.alias("g"), longest(groups, i).alias("best"))))
+    return F.aggregate(found, begin, step, lambda acc: acc.done)
+
+
+def _cards(run: Column) -> Column:
+    """A run that is a card as a whole; else cards of a known issuer at an end of the run, then within it, then any others in what is left."""
+    digits = lambda v: F.regexp_replace(v, "[^0-9]", "")
+    card = lambda v: v.rlike("[0-9]$") & F.length(digits(v)).between(13, 19) & (_luhn(digits(v)) % 10 == 0)
+    issued = lambda v: digits(v).rlike(ISSUED)
+    out = F.array(_piece(run))
+    for wanted in (lambda v, run: (v == run) | (issued(v) & (run.startswith(v) | run.endswith(v))), lambda v, run: issued(v), lambda v, run: F.lit(True)):
+        out = _merged(F.flatten(F.transform(out, _searcher(lambda v, run, wanted=wanted: wanted(v, run) & card(v)))))
+    return out
+
+
+def _searcher(valid):
+    return lambda p: F.when(p.k == "", _in_run(p.v, "card", r"[ -]?\d+|[ -]", 19, valid)).otherwise(F.array(p))
+
+
+def _ibans(run: Column) -> Column:
+    plain = lambda v: F.replace(v, F.lit(" "))
+    valid = lambda v, run: v.rlike("^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}$") & (_mod97(F.concat(F.substring(plain(v), F.lit(5), F.length(v)), F.substring(v, 1, 4))) == 1)
+    return _in_run(run, "iban", " ?[A-Z0-9]+", 34, valid)
+
+
+def _found(hit: Column, kind: str) -> Column:
+    """Pieces of a candidate; those that aren't valid have no kind."""
+    if kind == "card":
+        return _cards(hit)
+    if kind == "iban":
+        return _ibans(hit)
     valid = {
-        "email": F.lit(True),
-        "iban": _mod97(F.concat(F.substring(v, F.lit(5), F.length(v)), F.substring(v, 1, 4))) == 1,
-        "ip": F.lit(True),
-        "date": F.coalesce(_day(v).between(0, DAY_SIDE * DAY_SIDE - 1), F.lit(False)),
-        "ssn": ~v.rlike("^(000|666|9)|-00-|-0000$"),
-        "phone": F.length(digits).between(8, 15),
-        "card": _luhn(digits) % 10 == 0,
-    }
-    out = F.when(F.lit(False), F.lit(""))
-    for name, pattern in PATTERNS.items():
-        whole = "^(?:" + pattern.replace(r"(?<![A-Za-z0-9_.-])", "").replace(r"(?<![A-Za-z0-9])", "") + ")$"
-        out = out.when(v.rlike(whole) & valid[name], F.lit(name))
-    return out.otherwise(F.lit(""))
+        "date": F.coalesce(_day(hit).between(0, DAY_SIDE * DAY_SIDE - 1), F.lit(False)),
+        "ssn": ~hit.rlike("^(000|666|9)|-00-|-0000$"),
+    }.get(kind, F.lit(True))
+    return F.array(F.struct(hit.alias("v"), F.when(valid, F.lit(kind)).otherwise(F.lit("")).alias("k")))
+
+
+def _cutter(kind: str, pattern: str):
+    def cut(p: Column) -> Column:
+        found = lambda g, h: F.concat(F.array(_piece(g)), F.when(h.isNull(), F.array().cast(PIECES)).otherwise(_found(h, kind)))
+        parts = F.zip_with(F.split(p.v, pattern, -1), F.regexp_extract_all(p.v, F.lit(pattern), F.lit(0)), found)
+        return F.when((p.k == "") & p.v.rlike(pattern), _merged(F.flatten(parts))).otherwise(F.array(p))
+
+    return cut
+
+
+def pieces_of(text: Column) -> Column:
+    """The text cut into pieces of a kind and the pieces between (kind ''). Each kind searches what the kinds before it have left whole, so that a
+    candidate that turns out invalid hides no value of another kind; the pieces joined give the text."""
+    out = F.array(_piece(text)).cast(PIECES)
+    for kind, pattern in PASSES:
+        out = F.flatten(F.transform(out, _cutter(kind, pattern)))
+    return out
 
 
 def pseudonym(v: Column, kind: Column, key: str) -> Column:
@@ -142,14 +218,12 @@ def pseudonymize(documents: DataFrame, key: str = "quillspark-demo-key", text: s
     row, so repeated rows stay equal. An empty table gives an empty result. Columns of the input that are named as a count are replaced.
     """
     t = F.col(text)
-    cut = documents.withColumn("_gaps", F.when(t.rlike(ANY), F.split(t, ANY, -1))).withColumn("_hits", F.when(F.col("_gaps").isNotNull(), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))))
+    cut = documents.withColumn("_any", t.rlike(ANY))
     # one-element explodes keep arrays from being computed once per use
-    named = cut.withColumn("_kinds", F.explode(F.array(F.transform("_hits", lambda v: F.struct(v.alias("v"), _kind(v).alias("k"))))))
-    zipped = F.zip_with("_gaps", "_kinds", lambda g, h: F.concat(g, F.when(h.isNull(), F.lit("")).otherwise(pseudonym(h.v, h.k, key))))
-    out = named.withColumn(text, F.when(F.col("_gaps").isNull(), t).otherwise(F.array_join(zipped, "")))
+    named = cut.withColumn("_pieces", F.explode(F.array(F.when(F.col("_any"), pieces_of(t)))))
+    out = named.withColumn(text, F.when(F.col("_pieces").isNull(), t).otherwise(F.array_join(F.transform("_pieces", lambda p: pseudonym(p.v, p.k, key)), "")))
     if counts:
-        of_kind = lambda name: lambda h: h.k == name
-        n = {f"n_{name}": F.coalesce(F.size(F.filter("_kinds", of_kind(name))), F.lit(0)).cast("long") for name in COUNTED}
-        n = {k: F.when(F.col("_kinds").isNull(), F.lit(0).cast("long")).otherwise(v) for k, v in n.items()}
+        of_kind = lambda name: lambda p: p.k == name
+        n = {f"n_{name}": F.when(F.col("_pieces").isNull(), F.lit(0)).otherwise(F.size(F.filter("_pieces", of_kind(name)))).cast("long") for name in COUNTED}
         out = out.withColumns(n).withColumn("n_pii", sum((F.col(k) for k in list(n)[1:]), F.col(next(iter(n)))))
-    return out.drop("_gaps", "_hits", "_kinds")
+    return out.drop("_any", "_pieces")

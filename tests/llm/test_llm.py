@@ -203,6 +203,36 @@ def test_pseudonyms(spark):
     assert values.select(pii.feistel(F.col("v"), "k", "t")).distinct().count() == 3000
 
 
+BESIDE = [
+    ("4111 1111 1111 1111 12/27", ["4111 1111 1111 1111"], {"card": 1}),
+    ("4111 1111 1111 1111 123", ["4111 1111 1111 1111"], {"card": 1}),
+    ("4111-1111-1111-1111-12", ["4111-1111-1111-1111"], {"card": 1}),
+    ("pay 2024 4111 1111 1111 1111", ["4111 1111 1111 1111"], {"card": 1}),
+    ("2025 1234 5678 1234 5670 99", ["1234 5678 1234 5670"], {"card": 1}),
+    ("4111 1111 1111 1111 5 5500 0000 0000 0004", ["4111 1111 1111 1111", "5500 0000 0000 0004"], {"card": 2}),
+    ("4111 1111 1111 1111 192.168.0.1", ["4111 1111 1111 1111", "192.168.0.1"], {"card": 1, "ip": 1}),
+    ("7 123-45-6789 4111 1111 1111 1111", ["123-45-6789", "4111 1111 1111 1111"], {"card": 1, "ssn": 1}),
+    ("+1 415 555 2671 4111 1111 1111 1111", ["415 555 2671", "4111 1111 1111 1111"], {"phone": 1, "card": 1}),
+    ("+1 41 55 26 71 4111 1111 1111 1111", ["41 55 26 71", "4111 1111 1111 1111"], {"phone": 1, "card": 1}),
+    ("+1 415 555 2671 7070 3131", ["415 555 2671"], {"phone": 1}),
+    ("DE89 3704 0044 0532 0130 00", ["3704 0044 0532 0130 00"], {"iban": 1}),
+    ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF Please", ["3704 0044 0532 0130 00"], {"iban": 1}),
+    ("AB12 DE89 3704 0044 0532 0130 00", ["3704 0044 0532 0130 00"], {"iban": 1}),
+    ("DE89 4111 1111 1111 1111", ["4111 1111 1111 1111"], {"card": 1}),
+]
+
+
+def test_pseudonyms_beside_other_digits(spark):
+    out = {r.doc_id: r for r in pii.pseudonymize(frame(spark, [text for text, _, _ in BESIDE])).collect()}
+    for i, (text, hidden, kinds) in enumerate(BESIDE):
+        r = out[i]
+        assert all(h not in r.text for h in hidden) and ("ip" in kinds or len(r.text) == len(text)), text
+        assert {k: r[f"n_{k}"] for k in pii.COUNTED if r[f"n_{k}"]} == kinds, (text, r.text)
+        if kinds == {"card": 1}:
+            at, end = text.index(hidden[0]), text.index(hidden[0]) + len(hidden[0])
+            assert luhn(r.text[at:end]) and r.text[:at] + r.text[end:] == text[:at] + text[end:], text
+
+
 def test_empty_tables(spark):
     import public_tokenizers
 
