@@ -158,6 +158,15 @@ def merge_parts_order(spark: SparkSession, d: str) -> DataFrame:
     return g.select("lang", F.size("p").cast("long").alias("n_parts"), F.md5(F.array_join(F.transform("p", lambda x: x["t"]), "").cast("binary")).alias("merged"))
 
 
+@query("with r as (select lang, doc_id // 1000 as run, count(*) as n, md5(coalesce(string_agg(md5(text), '' order by doc_id), '')) as h from documents group by 1, 2) select lang, cast(sum(n) as bigint) as n_parts, md5(string_agg(h, '' order by run)) as merged from r group by lang")
+def merge_parts_whole(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-17, IMP-13 over whole texts: digests of the parts in the order of their number, joined by runs of 1000 numbers and these in order."""
+    part = F.struct(F.col("doc_id").alias("i"), F.md5(F.col("text").cast("binary")).alias("t"))
+    ordered = lambda c: F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["t"]), "").cast("binary"))
+    runs = table(spark, d, "documents").groupBy("lang", F.floor(F.col("doc_id") / 1000).alias("run")).agg(F.count(F.lit(1)).alias("n"), ordered(part).alias("h"))
+    return runs.groupBy("lang").agg(F.sum("n").alias("n_parts"), ordered(F.struct("run", F.col("h").alias("t"))).alias("merged"))
+
+
 @query("select event_id, try_cast(case when event_id % 1000 = 7 then 'x' else cast(user_id as varchar) end as bigint) as parsed, event_id % 1000 = 7 as failed from events")
 def error_budget_split(spark: SparkSession, d: str) -> DataFrame:
     """GOV-2: bad samples are told apart."""

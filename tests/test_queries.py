@@ -29,3 +29,13 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def _documents(spark, path, texts):
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "cast(length(text) as bigint) as n_chars").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_merge_reads_whole_texts(spark, tmp_path):
+    merged = [q.QUERIES["merge_parts_whole"](spark, _documents(spark, tmp_path / end, ["a long text " + end, "b"])).first().merged for end in ("x", "y")]
+    assert merged[0] != merged[1]
