@@ -220,6 +220,14 @@ def content_text(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", elm.content_text(own, items).alias("content"))
 
 
+@query("select doc_id, md5(case when doc_id % 3 = 0 then text else nullif(array_to_string(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda w: w <> ''), ' '), '') end) as content_md5 from documents")
+def content_text_whole(spark: SparkSession, d: str) -> DataFrame:
+    """ELM-10 over whole texts, as a digest."""
+    own = F.when(F.col("doc_id") % 3 == 0, F.col("text"))
+    items = elm.flat_words(F.array_remove(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), ""))
+    return _docs(spark, d).select("doc_id", F.md5(elm.content_text(own, items).cast("binary")).alias("content_md5"))
+
+
 _CENTRES = "(select user_id, event_id, value as cx, cast(event_id % 97 as double) as cy from events)"
 
 

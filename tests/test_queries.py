@@ -39,3 +39,9 @@ def _documents(spark, path, texts):
 def test_merge_reads_whole_texts(spark, tmp_path):
     merged = [q.QUERIES["merge_parts_whole"](spark, _documents(spark, tmp_path / end, ["a long text " + end, "b"])).first().merged for end in ("x", "y")]
     assert merged[0] != merged[1]
+
+
+def test_content_reads_whole_texts(spark, tmp_path):
+    long = "twenty characters and more "
+    got = [{r.doc_id: r.content_md5 for r in q.QUERIES["content_text_whole"](spark, _documents(spark, tmp_path / end, [long + end, "line\n" + end])).collect()} for end in ("x", "y")]
+    assert got[0][0] != got[1][0] and got[0][1] != got[1][1]
