@@ -243,16 +243,21 @@ REJECT_BELOW = 0.3
 
 def with_known_language(documents: DataFrame, reject_below: float = REJECT_BELOW, model: Crf | None = None) -> DataFrame:
     """documents without those of which no language can be told: texts without letters, and texts whose best language has under reject_below of
-    the word posteriors (near an even split of four). All columns stay."""
+    the word posteriors (near an even split of four; with more languages the bound falls as their even split does). Where no labelled document
+    exists, only texts without letters are left out. All columns stay."""
     model = model or fit_crf(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
     at = documents.columns.index("text")
     predict = _predict(model)
+    least = reject_below * 4 / max(4, len(model.labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
+            if not model.labels:
+                yield batch.filter(pa.array([any(map(str.isalpha, t or "")) for t in batch.column(at).to_pylist()], pa.bool_()))
+                continue
             plain = pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), batch.column(at)], names=["doc_id", "held_out", "text"])
-            good = [lang != UND and score >= reject_below for out in predict(iter([plain])) for lang, score in zip(out.column(2).to_pylist(), out.column(3).to_pylist())]
+            good = [lang != UND and score >= least for out in predict(iter([plain])) for lang, score in zip(out.column(2).to_pylist(), out.column(3).to_pylist())]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return thin_batches(documents).mapInArrow(lean("language_id", run), documents.schema)

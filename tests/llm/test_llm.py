@@ -264,3 +264,14 @@ def test_pipeline_keeps_clean_documents(spark):
     ids = [r.doc_id for r in docs.select("doc_id").orderBy("doc_id").collect()]
     want = {ids[c] for c in set(comp)} - bad
     assert set(out.doc_id) == {d for d in want if d in langs}
+
+
+def test_unlabelled_documents_stay(spark):
+    docs = frame(spark, [None, "", "12 !", "clean text", "más"]).withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in language_id.with_known_language(docs).collect()} == {3, 4}
+
+
+def test_rejection_scales_with_the_languages(spark, monkeypatch):
+    docs = frame(spark, ["some words"])
+    monkeypatch.setattr(language_id, "_predict", lambda model: lambda batches: (b.select(["doc_id", "held_out"]).append_column("lang_pred", ["l1"]).append_column("score", [0.2]) for b in batches))
+    assert [language_id.with_known_language(docs, model=language_id.Crf([f"l{i}" for i in range(n)], {})).count() for n in (4, 8)] == [0, 1]
