@@ -161,9 +161,11 @@ def held_out(doc_id="doc_id"):
 
 
 def fit_crf(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Crf:
-    """documents (doc_id, text, lang) -> Crf fitted on labelled documents that aren't held out, at most about sample_docs of each language."""
+    """documents (doc_id, text, lang) -> Crf fitted on labelled documents that aren't held out, at most about sample_docs of each language.
+
+    Every lang value becomes a label; memory grows with their number and, in forward-backward, with its square."""
     own = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = {r["lang"]: r["count"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()}
+    counts = {r["lang"]: r["count"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
     if not counts:
         return Crf([], {})
     share = F.create_map(*(x for k, v in counts.items() for x in (F.lit(k), F.lit(min(1.0, sample_docs / v)))))

@@ -182,6 +182,12 @@ def test_languages_on_held_out_rows(spark):
     assert (got.lang_pred == got.lang).mean() > 0.97
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id.Crf, "fit", lambda self, spans: self)
+    docs = frame(spark, ["some words"] * 2050).withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 205))
+    assert len(language_id.fit_crf(docs).labels) == 205
+
+
 def luhn(s):
     d = [int(c) for c in s[::-1] if c.isdigit()]
     return sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(d)) % 10 == 0
