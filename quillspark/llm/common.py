@@ -45,11 +45,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def thin_batches(df: DataFrame) -> DataFrame:
-    """df; from now on its session hands rows to Python in Arrow batches of about BATCH_MB, whatever the rows' size, for both sides hold a batch whole."""
-    df.sparkSession.conf.set(BATCH_KEY, f"{BATCH_MB}m")
+    """df; its session hands rows to Python in Arrow batches of at most about BATCH_MB, whatever the rows' size, for both sides hold a batch whole.
+
+    Spark reads this when a query runs, so it cannot be bound to one query. Every operator that hands texts to Python asks for it, so that none
+    depends on which others ran before; a session that names a smaller bound of its own keeps that."""
+    spark = df.sparkSession
+    named = str(spark.conf.get(BATCH_KEY)).strip().lower()
+    units = {"k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30, "b": 1, "": 1}
+    number = named.rstrip("bgkm")
+    size = int(number) * units[named[len(number) :]] if number.isdigit() else 0
+    if not 0 < size <= BATCH_MB << 20:
+        spark.conf.set(BATCH_KEY, f"{BATCH_MB}m")
     return df
 
 
+def free_name(name: str, *frames: DataFrame) -> str:
+    """name, lengthened until no column of the frames has it."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def kept(operator: str, key: str, make: Callable[[], object]) -> object:
     """What a worker process keeps for the next tasks of an operator; the first task of another one frees it."""
     if (operator, key) not in _kept:

@@ -10,106 +10,35 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import chunks, kept, lean, staged
+from .common import lean, slices, staged, thin_batches
+from .encoder import word_tokenizer
 
-SEQUENCE, END_ID, PIECES_PER_TASK, CACHE = 4096, 1, 100_000, 1_200_000
-
-
-class WordTokenizer:
-    """Ids of a lower-casing tokenizer with word ends whose pieces never span white space, remembered by word.
-
-    Words are cut at ASCII white space. One that is new is looked up without capitals and trailing commas and stops, which are pieces of
-    their own behind a letter or digit; letters-only words are encoded many at a time and told apart by their word ends. At most CACHE
-    words are remembered at a time.
-    """
-
-    GROUP = 200
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        vocab = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-
-    def _learn(self, words: list[bytes]) -> None:
-        known, shared, cut = self.known, {}, []
-        for w in words:
-            core = w if b"<" in w else w.lower()
-            stem = core.rstrip(b".,")
-            if stem == core or not stem[-1:].isalnum():
-                stem, tail = core, b""
-            else:
-                tail = core[len(stem) :]
-            cut.append((w, stem, tail))
-            for part in (stem, tail):
-                if part and part not in known:
-                    shared[part] = None
-        texts = {w: w.decode() for w in shared}
-        plain = [w for w, t in texts.items() if t.isalpha()]
-        rest = [w for w, t in texts.items() if not t.isalpha()]
-        groups = [plain[i : i + self.GROUP] for i in range(0, len(plain), self.GROUP)]
-        for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(texts[w] for w in g) for g in groups], add_special_tokens=False)):
-            ids = e.ids
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(stops) != len(group) or stops[-1] != len(ids):
-                rest += group
-            else:
-                for w, lo, hi in zip(group, [0, *stops], stops):
-                    shared[w] = tuple(ids[lo:hi])
-        for lo in range(0, len(rest), 10_000):
-            part = rest[lo : lo + 10_000]
-            shared.update(zip(part, (tuple(e.ids) for e in self.tokenizer.encode_batch([texts[w] for w in part], add_special_tokens=False))))
-        known.update(shared)
-        for w, stem, tail in cut:
-            if w not in known:
-                known[w] = known[stem] + known[tail] if tail else known[stem]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [t.encode().split() for t in texts]
-        if len(self.known) > CACHE:
-            self.known = {}
-        found = [list(map(self.known.get, ws)) for ws in words]
-        holes = [(f, ws, i) for f, ws in zip(found, words) if None in f for i, ids in enumerate(f) if ids is None]
-        if holes:
-            self._learn(list({ws[i] for _, ws, i in holes}))
-            for f, ws, i in holes:
-                f[i] = self.known[ws[i]]
-        return [np.fromiter(chain.from_iterable(f), "<u4") for f in found]
-
-
-def word_tokenizer(path: str) -> WordTokenizer:
-    """The tokenizer of this process: words that a worker learns in one task serve its next ones."""
-    return kept("packing", path, lambda: WordTokenizer(path))
+SEQUENCE, END_ID, PIECES_PER_TASK = 4096, 1, 100_000
 
 
 def _pieces(path: str, limit: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = word_tokenizer(path)
-        for batch in batches:
-            rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            for part in chunks(rows, lambda r: len(r[1] or ""), 1 << 21):
-                out = []
-                for (doc, _), ids in zip(part, tok.encode([r[1] or "" for r in part])):
-                    ids = np.append(ids, np.uint32(END_ID))
-                    for k, lo in enumerate(range(0, len(ids), limit)):
-                        own = ids[lo : lo + limit]
-                        out.append((doc, k, lo, len(own), zlib.crc32(own.tobytes())))
-                cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"]
-                )
+        for batch in slices(batches, 1, 1 << 22):
+            ids, at = tok.encode(batch.column(1), END_ID)
+            sizes = np.diff(at)
+            count = -(-sizes // limit)
+            row = np.repeat(np.arange(len(sizes)), count)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            start = piece * limit
+            length = np.minimum(limit, sizes[row] - start)
+            low, raw = (at[row] + start).tolist(), memoryview(ids.view(np.uint8))
+            crc = [zlib.crc32(raw[4 * lo : 4 * (lo + n)]) for lo, n in zip(low, length.tolist())]
+            cols = [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
@@ -161,7 +90,8 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, limit: int = SEQUE
     Null and empty texts give one piece that holds the end id alone. Repeated rows are packed each. An empty table gives an empty result.
     Texts of any length are cut into pieces of `limit` ids. Other columns are ignored.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = staged(docs.mapInArrow(lean("packing", _pieces(tokenizer_path, limit)), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    docs = thin_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    shape = "doc_id long, piece int, start long, length long, ids_crc32 long"
+    pieces = staged(docs.mapInArrow(lean("tokens", _pieces(tokenizer_path, limit)), shape), "pieces")
     tasks = max(1, -(-pieces.count() // pieces_per_task))
-    return pieces.coalesce(tasks).mapInArrow(_pack(limit), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return pieces.coalesce(tasks).mapInArrow(_pack(limit), shape + ", sequence_id long, offset long")
