@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import chunks
+from .common import lean, slices, staged, thin_batches
 
 SAMPLE_DOCS, TERMS, LEAST_DOCS, LEAST_RATIO, WINDOW, CACHE = 20_000, 4000, 4, 12.0, 5, 500_000
 STEMS = (5, 6)
@@ -23,6 +23,8 @@ FOLDS, HELD = 5, 0
 REPORTING = frozenset("said says wrote writes called quote quoted quoting word term reported claims claimed dit écrit sagte schrieb dijo escribió".split())
 ADDRESS = frozenset("you your yours u tu toi vous du dich ihr tú usted eres vosotros".split())
 FEATURES = 8
+#: Log odds of the prior where labels don't tell: texts are taken as not toxic.
+PRIOR = 4.0
 
 _WORD = re.compile(r"\w+")
 _QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“"}
@@ -109,7 +111,7 @@ class TrieAutomaton:
 class Model:
     def __init__(self, terms: list[str], weights: list[float]):
         self.terms, self.weights = terms, weights
-        self.beta, self.bias = np.zeros(FEATURES), 0.0
+        self.beta, self.bias = np.zeros(FEATURES), -PRIOR
 
     def featurise(self, text: str, words: list[str], found: list[tuple | None]) -> list[float]:
         """Log sums of exact, misspelled, quoted and addressed hits, distinct terms, density, the best weight, and text length."""
@@ -138,7 +140,7 @@ class Model:
     def fit(self, x: np.ndarray, y: np.ndarray, rounds: int = 60, l2: float = 1e-2) -> Model:
         """Newton steps with a ridge."""
         if not len(y) or y.min() == y.max():
-            self.bias = 4.0 if len(y) and y.min() == 1 else -4.0
+            self.bias = -PRIOR if not len(y) or y.max() == 0 else PRIOR
             return self
         a = np.column_stack((x, np.ones(len(x))))
         b = np.zeros(a.shape[1])
@@ -159,25 +161,23 @@ def _featured(model: Model, finish):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = TrieAutomaton(model.terms)
         known: dict[str, tuple | bool] = {}
-        for batch in batches:
-            rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()))
-            for part in chunks(rows, lambda r: len(r[2] or ""), 1 << 21):
-                out = []
-                for _, _, text in part:
-                    text = (text or "").lower()
-                    words = _WORD.findall(text)
-                    found = list(map(known.get, words))
-                    if None in found:
-                        if len(known) > CACHE:
-                            known = {}
-                        for i, hit in enumerate(found):
-                            if hit is None:
-                                w = words[i]
-                                if w not in known:
-                                    known[w] = automaton.match(w) or False
-                                found[i] = known[w]
-                    out.append(model.featurise(text, words, found))
-                yield finish([r[0] for r in part], [r[1] for r in part], np.array(out).reshape(len(part), FEATURES))
+        for batch in slices(batches, 2, 1 << 21):
+            out = []
+            for text in batch.column(2).to_pylist():
+                text = (text or "").lower()
+                words = _WORD.findall(text)
+                found = list(map(known.get, words))
+                if None in found:
+                    if len(known) > CACHE:
+                        known = {}
+                    for i, hit in enumerate(found):
+                        if hit is None:
+                            w = words[i]
+                            if w not in known:
+                                known[w] = automaton.match(w) or False
+                            found[i] = known[w]
+                out.append(model.featurise(text, words, found))
+            yield finish(batch.column(0).to_pylist(), batch.column(1).to_pylist(), np.array(out).reshape(batch.num_rows, FEATURES))
 
     return run
 
@@ -197,20 +197,27 @@ def held_out():
 
 
 def fit_toxicity(documents: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fitted on at most about sample_docs labelled rows that aren't held out: half of them for the lexicon, half for the regression."""
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
+    """Fitted on at most about sample_docs labelled rows that aren't held out: half of them for the lexicon, half for the regression.
+
+    The ids of the sample, whose number sample_docs bounds at any input size, are broadcast to the documents, so no text is shuffled; the
+    sampled rows are written once. Without labels the model has no terms and the prior of texts that aren't toxic."""
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
+    marks = staged(marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out()), "marks")
     counts = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
     if not counts:
         return Model([], [])
     share = F.when(F.col("toxic") == 1, min(1.0, sample_docs / 2 / counts.get(1, 1))).otherwise(min(1.0, sample_docs / 2 / counts.get(0, 1)))
     roll = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1_000_000)) / 1_000_000
-    chosen = marks.where(share > roll).withColumn("half", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(3)), F.lit(2)))
-    rows = documents.where("text is not null").join(chosen, "doc_id").select("toxic", "half", "text")
+    chosen = staged(marks.where(share > roll).withColumn("half", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(3)), F.lit(2))), "chosen")
+    # a hash decides who is drawn; should it ever draw far more than asked for, the join shuffles instead
+    small = F.broadcast(chosen) if chosen.count() <= 2 * sample_docs else chosen
+    rows = staged(documents.where("text is not null").join(small, "doc_id").select("toxic", "half", "text"), "sample")
     size = {r["toxic"]: r["count"] for r in rows.where("half = 0").groupBy("toxic").count().collect()}
     bad, good = size.get(1, 0) + 1.0, size.get(0, 0) + 1.0
     ratio = ((F.col("bad") + 0.1) / bad) / ((F.col("good") + 0.1) / good)
-    words = rows.where("half = 0").select("toxic", "text").mapInArrow(_word_counts, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    best = words.where(F.col("bad") >= LEAST_DOCS).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("bad"), "word").limit(TERMS).collect()
+    words = rows.where("half = 0").select("toxic", "text").mapInArrow(lean("toxicity", _word_counts), "word string, bad long, good long")
+    words = words.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(F.col("bad") >= LEAST_DOCS)
+    best = words.withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("bad"), "word").limit(TERMS).collect()
     top = sorted((r["word"], float(np.log(r["ratio"]) / np.log(LEAST_RATIO))) for r in best)
     model = Model([w for w, _ in top], [min(4.0, s) for _, s in top])
 
@@ -218,21 +225,24 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, sample_docs: int = SAM
         return pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), *(pa.array(x[:, k]) for k in range(FEATURES))], names=["y", *(f"f{k}" for k in range(FEATURES))])
 
     schema = "y int, " + ", ".join(f"f{k} double" for k in range(FEATURES))
-    got = rows.where("half = 1").select(F.lit(None).cast("long").alias("doc_id"), "toxic", "text").mapInArrow(_featured(model, finish), schema).toPandas()
+    sample = rows.where("half = 1").select(F.lit(None).cast("long").alias("doc_id"), "toxic", "text")
+    got = sample.mapInArrow(lean("toxicity", _featured(model, finish)), schema).toPandas()
     return model.fit(got.drop(columns="y").to_numpy(float), got["y"].to_numpy(float))
 
 
 def score_toxicity(documents: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
     """documents (doc_id, text, ...), labels (doc_id, toxic, ...) -> doc_id, held_out, score, predicted; one row for each document row.
 
-    Null and empty texts have no hits and get the score of such texts. Without labels every score is 0.5 and predicted 1. Repeated rows get equal
-    results; repeated labels count once, a toxic one wins; an empty table gives an empty result. Other columns are ignored.
+    Null and empty texts have no hits and get the score of such texts. Without labels, and with labels that are all 0, every text gets the prior of
+    texts that aren't toxic: a score of 0.018, predicted 0. Repeated rows get equal results; repeated labels count once, a toxic one wins; an empty
+    table gives an empty result. Texts are read whole. Other columns are ignored.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = thin_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = model or fit_toxicity(docs, labels)
 
     def finish(ids, held, x):
         s = model.score(x)
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(_featured(model, finish), "doc_id long, held_out boolean, score double, predicted int")
+    scored = docs.select("doc_id", held_out().alias("held_out"), "text")
+    return scored.mapInArrow(lean("toxicity", _featured(model, finish)), "doc_id long, held_out boolean, score double, predicted int")
