@@ -1,7 +1,9 @@
 """WARC archives with boundary-chain verification (operator 6).
 
-Writing: Spark's own text writer puts one record per page into uncompressed archives of about FILE_MB, so that any store that Spark knows will do.
-Of equal payloads the page with the smallest id becomes the response record, the others revisit records without a payload.
+Writing: Spark's own text writer puts records into uncompressed archives that are closed after about FILE_MB, so any store that Spark knows will do.
+Of equal payloads the page with the smallest id becomes the response record, the others revisit records without a payload. Digests are made in the
+JVM. Payloads that occur twice are looked up in a broadcast table while that has at most BROADCAST_ROWS rows; beyond it pages are joined with
+their verdicts by page id and digest, so copies of one payload never meet in one task.
 
 Reading: a task per archive looks for the record magic anywhere, also inside payloads, and emits each candidate with the offset its header makes the
 successor. Candidates are grouped in segments of the file; within a segment the chain of each candidate is followed at once, so that global
@@ -19,11 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.column import Column
 
-from .common import staged, staged_path
+from .common import lean, slices, staged, staged_path, thin_batches
 
 MAGIC, CRLF = b"WARC/1.1\r\n", "\r\n"
-FILE_MB, SEGMENT = 16, 4 << 20
+FILE_MB, SEGMENT, BROADCAST_ROWS = 16, 4 << 20, 100_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -49,40 +52,72 @@ def record_text(page_id: int | None, url: str | None, payload: str, digest: str,
     return CRLF.join(head) + block
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        html = [h or b"" for h in batch.column(2).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array([len(h) for h in html], pa.int64()), pa.array([base32_sha1(h) for h in html]), pa.array([zlib.compress(h, 6) for h in html], pa.binary())],
-            names=["page_id", "url", "size", "digest", "packed"],
-        )
+def base32_digest(text: Column) -> Column:
+    """base32_sha1 of a string column, from its hexadecimal digest: five hexadecimal digits are four of base 32."""
+    hexa = F.sha1(text.cast("binary"))
+    quads = F.concat(*(F.lpad(F.conv(F.substring(hexa, 5 * k + 1, 5), 16, 32), 4, "0") for k in range(8)))
+    return F.translate(quads, "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = zip(*(batch.column(k).to_pylist() for k in range(6)))
-        out = []
-        for page, url, size, digest, packed, first in rows:
-            revisit = first is not None and first != page
-            out.append(record_text(page, url, "" if revisit else zlib.decompress(packed).decode(), digest, first, revisit, size))
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Payloads compressed for a shuffle."""
+    for batch in slices(batches, 4):
+        html = pa.array([zlib.compress(h, 6) for h in batch.column(4).cast(pa.binary()).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], html], names=["page_id", "url", "size", "digest", "html"])
+
+
+def _records(packed: bool, file_bytes: int):
+    """Rows (page_id, url, size, digest, html, first) as records, joined to runs that make one archive each."""
+    end = CRLF * 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+        for batch in slices(batches, 4):
+            for page, url, size, digest, html, first in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                revisit = first is not None and page is not None and first != page
+                payload = "" if revisit else zlib.decompress(html).decode() if packed else html
+                out.append(record_text(page, url, payload, digest, first, revisit, size))
+                held += 0 if revisit else size
+                held += 600
+                if held >= file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([end.join(out)], pa.string())], names=["value"])
+                    out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([end.join(out)], pa.string())], names=["value"])
+
+    return run
 
 
-def write_warc(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """pages (page_id long, url string, html string, ...) -> archives in the folder `path`.
+def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, broadcast_rows: int = BROADCAST_ROWS, file_bytes: int = FILE_MB << 20) -> None:
+    """pages (page_id long, url string, html string, ...) -> archives in the folder `path`, each closed by the page that fills `file_bytes`.
 
     Null html is an empty payload. Payloads under `least_bytes` are always responses. Rows with a null page_id are responses; rows that
-    repeat a page_id are written each. An empty table writes no record.
+    repeat a page_id are written each. An empty table writes no record. Other columns are ignored.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    keyed = rows.mapInArrow(_digests, "page_id long, url string, size long, digest string, packed binary")
-    html = F.coalesce("html", F.lit(""))
-    firsts = rows.where(F.octet_length(html) >= least_bytes).groupBy(F.sha1(html.cast("binary")).alias("sha"), F.octet_length(html).cast("long").alias("size")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    # only payloads that occur twice need a lookup: they join by digest, the others pass
-    quads = F.concat(*(F.lpad(F.conv(F.substring("sha", 5 * k + 1, 5), 16, 32), 4, "0") for k in range(8)))
-    firsts = firsts.select(F.translate(quads, "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567").alias("digest"), "size", "first")
-    joined = keyed.join(firsts, ["digest", "size"], "left").select("page_id", "url", "size", "digest", "packed", "first")
-    joined.mapInArrow(_records, "value string").write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", 4000).text(path)
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    rows = thin_batches(pages).select(
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.octet_length(html).cast("long").alias("size"), base32_digest(html).alias("digest"), html.alias("html")
+    )
+    known = rows.where("page_id is not null").where(F.col("size") >= least_bytes)
+    # partial sums first, so a payload that a third of all pages share is one row of each task; its size stays in the key, as in the digest's stead
+    twice = known.groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    twice = staged(twice.select("digest", "size", "first"), "twice")
+    cols = ["page_id", "url", "size", "digest", "html", "first"]
+    if few := twice.count() <= broadcast_rows:
+        joined = rows.join(F.broadcast(twice), ["digest", "size"], "left")
+    else:
+        # narrow rows find their first page, then only pages, with payloads packed, meet the copies among them by page
+        copies = staged(known.select("page_id", "digest", "size").distinct().join(twice, ["digest", "size"]).where("first <> page_id"), "copies")
+        packed = rows.where("page_id is not null").select(*cols[:5]).mapInArrow(lean("warc", _packed), "page_id long, url string, size long, digest string, html binary")
+        joined = packed.join(copies, ["page_id", "digest", "size"], "left")
+        alone = rows.where("page_id is null").select(*cols[:5], F.lit(None).cast("long").alias("first"))
+        _write(alone, path, False, file_bytes, "append")
+    _write(joined.select(*cols), path, not few, file_bytes, "append")
+
+
+def _write(rows: DataFrame, path: str, packed: bool, file_bytes: int, mode: str) -> None:
+    text = rows.mapInArrow(lean("warc", _records(packed, file_bytes)), "value string")
+    text.write.mode(mode).option("lineSep", CRLF * 2).option("maxRecordsPerFile", 1).text(path)
 
 
 def candidates_of(content: bytes) -> list[tuple]:
@@ -112,9 +147,15 @@ def candidates_of(content: bytes) -> list[tuple]:
     return out
 
 
+_FOUND = [
+    ("path", pa.string()), ("off", pa.int64()), ("next", pa.int64()), ("leave", pa.int64()), ("segment", pa.int64()), ("record_type", pa.string()),
+    ("page_id", pa.int64()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()),
+]
+
+
 def _scan(segment: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows = candidates_of(content.as_buffer().to_pybytes())
                 if not rows:
@@ -126,12 +167,9 @@ def _scan(segment: int):
                 to = np.where(known & (nxt // segment == off // segment), at, np.arange(len(off)))
                 while not np.array_equal(to[to], to):
                     to = to[to]
-                cols = list(zip(*rows))
-                types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([path] * len(off)), pa.array(off), pa.array(nxt), pa.array(nxt[to]), pa.array(off // segment), *(pa.array(c, t) for c, t in zip((cols[2], cols[3], cols[4], cols[7], cols[6]), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64())))],
-                    names=["path", "off", "next", "leave", "segment", "record_type", "page_id", "refers_to", "payload_digest", "payload_bytes"],
-                )
+                _, _, kind, page, refers, _, size, digest = zip(*rows)
+                cols = [[path] * len(off), off, nxt, nxt[to], off // segment, kind, page, refers, digest, size]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, _FOUND)], schema=pa.schema(_FOUND))
 
     return run
 
@@ -153,11 +191,13 @@ def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_warc(spark: SparkSession, path: str, segment: int = SEGMENT) -> DataFrame:
     """Archives in a folder -> page_id, payload_bytes, payload_digest, record_type, refers_to of the reachable records.
 
-    Magic inside payloads, and all that follows a broken header, is left out. A folder without archives gives an empty result.
+    Magic inside payloads, and all that follows a broken header, is left out. A folder without archives gives an empty result. Empty payloads have
+    0 bytes; records whose page id or reference is missing or no number have null there; records that occur twice give two rows. Each archive
+    is held whole by one task, as a store that only Spark reads has no ranges; an archive of 2 GB or more can't be read.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    files = thin_batches(spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path))
     shape = "path string, off long, next long, leave long, segment long, record_type string, page_id long, refers_to long, payload_digest string, payload_bytes long"
-    found = staged(files.select("path", "content").mapInArrow(_scan(segment), shape), "candidates")
+    found = staged(files.select("path", "content").mapInArrow(lean("warc", _scan(segment)), shape), "candidates")
     last = found.agg(F.max("segment")).first()[0] or 0
     reached = found.where("off = 0").select("path", "off")
     if last:
@@ -179,6 +219,8 @@ def read_warc(spark: SparkSession, path: str, segment: int = SEGMENT) -> DataFra
 
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:
+    """pages (page_id, url, html, ...) -> what `read_warc` finds in the archives that `write_warc` makes of them: one row for each row, with null
+    html as an empty payload, null page ids as responses, and repeated rows each. An empty table gives an empty result; other columns are ignored."""
     spark = pages.sparkSession
     path = staged_path(spark, "archives")
     write_warc(pages, path)

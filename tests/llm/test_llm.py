@@ -281,3 +281,17 @@ def test_rejection_scales_with_the_languages(spark, monkeypatch):
     docs = frame(spark, ["some words"])
     monkeypatch.setattr(language_id, "_predict", lambda model: lambda batches: (b.select(["doc_id", "held_out"]).append_column("lang_pred", ["l1"]).append_column("score", [0.2]) for b in batches))
     assert [language_id.with_known_language(docs, model=language_id.Crf([f"l{i}" for i in range(n)], {})).count() for n in (4, 8)] == [0, 1]
+
+
+def test_warc_paths_agree(spark, tmp_path):
+    pages = [(i, "u", ["same", "twin", f"own {i}" * 50, None][i % 4], 1, "x") for i in range(60)] + [(None, None, "same", 1, "x"), (None, "u", "alone", 1, "x"), (7, "u", "own 7", 1, "x")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, size int, digest string")
+    got = []
+    for name, rows in (("few", 1000), ("many", 0)):
+        warc.write_warc(df, f"file://{tmp_path}/{name}", broadcast_rows=rows, file_bytes=4000)
+        got.append(sorted(map(str, warc.read_warc(spark, f"file://{tmp_path}/{name}", 3000).collect())))
+        assert max(f.stat().st_size for f in (tmp_path / name).glob("*.txt")) < 5500
+    assert got[0] == got[1] and len(got[0]) == len(pages)
+    warc.write_warc(df, f"file://{tmp_path}/least", least_bytes=5)
+    kinds = {r.page_id: r.record_type for r in warc.read_warc(spark, f"file://{tmp_path}/least").collect()}
+    assert set(kinds.values()) == {"response"}
