@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from .common import kept
 
 CACHE = 1_200_000
+#: Signs that the tokenizer cuts off behind a letter or digit, apostrophes (parts of contractions) and angle brackets (of special tokens) left out.
+TAIL = b".,!?;:#*$%&"
 
 
 class Ids:
@@ -46,8 +48,9 @@ class WordTokenizer:
     """Ids of a lower-casing tokenizer with word ends whose pieces never span white space, remembered by word.
 
     Texts are cut at ASCII white space and dictionary-encoded as Arrow columns, so each distinct word of a batch is looked up once and ids are
-    gathered by number. A new word is looked up without capitals and trailing commas and stops, which are pieces of their own behind a letter or
-    digit; letters-only words are encoded many at a time and told apart by their word ends. About CACHE words are remembered at a time.
+    gathered by number. A new word is looked up without capitals and the signs of TAIL at its end, which are pieces of their own behind a letter or
+    digit; letters-only words are encoded many at a time and told apart by their word ends. About CACHE words are remembered at a time; beyond
+    that those that fewest batches had are forgotten.
     """
 
     GROUP = 200
@@ -60,11 +63,19 @@ class WordTokenizer:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self._forget()
+        self.known: dict[bytes, int] = {}
+        self.ids, self.hits = Ids(), np.zeros(1 << 14, np.uint32)
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids = Ids()
+        """Keep the words that more batches had, half of CACHE at most."""
+        words, numbers = list(self.known), np.fromiter(self.known.values(), np.int64, len(self.known))
+        hits, least = self.hits[numbers], 2
+        while (hits >= least).sum() > CACHE // 2:
+            least += 1
+        stay = np.flatnonzero(hits >= least)
+        ids, sizes = self.ids.joined(numbers[stay])
+        self.known, self.ids, self.hits = {}, Ids(), np.zeros(1 << 14, np.uint32)
+        self._keep([words[i] for i in stay.tolist()], [ids], [sizes])
 
     def _keep(self, words: list[bytes], ids: list[np.ndarray], sizes: list[np.ndarray]) -> None:
         if words:
@@ -99,7 +110,7 @@ class WordTokenizer:
         known, new, twin, twin_of, cut, halves = self.known, {}, [], [], [], []
         for w in words:
             core = w if b"<" in w else w.lower()
-            stem = core.rstrip(b".,")
+            stem = core.rstrip(TAIL)
             if stem == core or not stem[-1:].isalnum():
                 stem = core
             else:
@@ -127,12 +138,15 @@ class WordTokenizer:
         coded = split.values.dictionary_encode()
         words = coded.dictionary.cast(pa.binary()).to_pylist()
         found = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        empty = np.array([not w for w in words], bool)
+        empty = pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False) == 0
         holes = np.flatnonzero((found < 0) & ~empty)
         if len(holes):
             fresh = [words[i] for i in holes.tolist()]
             self._learn(fresh)
             found[holes] = np.fromiter(map(self.known.__getitem__, fresh), np.int64, len(fresh))
+        if len(self.hits) < self.ids.count:
+            self.hits = np.concatenate((self.hits, np.zeros(2 * self.ids.count, np.uint32)))
+        self.hits[found[~empty]] += 1
         numbers = found[coded.indices.to_numpy(zero_copy_only=False)]
         offsets = split.offsets.to_numpy().astype(np.int64)
         if empty.any():
