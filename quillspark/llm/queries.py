@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontamination, language_id, ngram_jaccard, packing, pii, quality, secrets, token_counts, toxicity, warc
 from .common import table
 
-TOKENIZER = "word_bpe_49k.json"
+TOKENIZER, KEY_SETTING = "word_bpe_49k.json", "spark.quillspark.pseudonym.key"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -18,6 +18,12 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    """The secret of the pseudonyms: what the session names in KEY_SETTING. The fixed one, for tests and demonstrations, hides nothing from readers of
+    this file."""
+    return spark.conf.get(KEY_SETTING, "quillspark-demo-key")
+
+
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.ngram_jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -56,7 +62,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return pii.pseudonymize(docs.select("doc_id", "text"))
+    return pii.pseudonymize(docs.select("doc_id", "text"), pseudonym_key(spark))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

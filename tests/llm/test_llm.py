@@ -196,7 +196,7 @@ def luhn(s):
 def test_pseudonyms(spark):
     texts = [*EDGE, "mail a.b1@x.org card 4111 1111 1111 1111 ip 10.0.0.1 on 2023-02-28", "again 4111 1111 1111 1111, bad 4111 1111 1111 1112, +1 (212) 555-0123, 2023-02-30", "DE89370400440532013000 and 123-45-6789"]
     docs = frame(spark, texts)
-    out = {r.doc_id: r for r in pii.pseudonymize(docs).collect()}
+    out = {r.doc_id: r for r in pii.pseudonymize(docs, "k").collect()}
     assert out[0].text is None and all(out[i].text == texts[i] for i in range(1, 9))
     a, b, c = out[9].text, out[10].text, out[11].text
     card = re.search(r"\d{4} \d{4} \d{4} \d{4}", a)[0]
@@ -229,7 +229,7 @@ BESIDE = [
 
 
 def test_pseudonyms_beside_other_digits(spark):
-    out = {r.doc_id: r for r in pii.pseudonymize(frame(spark, [text for text, _, _ in BESIDE])).collect()}
+    out = {r.doc_id: r for r in pii.pseudonymize(frame(spark, [text for text, _, _ in BESIDE]), "k").collect()}
     for i, (text, hidden, kinds) in enumerate(BESIDE):
         r = out[i]
         assert all(h not in r.text for h in hidden) and ("ip" in kinds or len(r.text) == len(text)), text
@@ -248,7 +248,7 @@ def test_empty_tables(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     for out in (
         ngram_jaccard.ngram_jaccard_components(docs), decontamination.decontaminate(docs, bench), token_counts.token_counts(docs, path), quality.quality_rules(docs), packing.pack_documents(docs, path),
-        warc.warc_round_trip(pages), toxicity.score_toxicity(docs, labels), secrets.scan_secrets(docs), language_id.identify_languages(docs), pii.pseudonymize(docs),
+        warc.warc_round_trip(pages), toxicity.score_toxicity(docs, labels), secrets.scan_secrets(docs), language_id.identify_languages(docs), pii.pseudonymize(docs, "k"),
     ):
         assert out.count() == 0
 
@@ -295,3 +295,78 @@ def test_warc_paths_agree(spark, tmp_path):
     warc.write_warc(df, f"file://{tmp_path}/least", least_bytes=5)
     kinds = {r.page_id: r.record_type for r in warc.read_warc(spark, f"file://{tmp_path}/least").collect()}
     assert set(kinds.values()) == {"response"}
+
+
+def python_feistel(value, key, kind):
+    """The network over characters, written again in plain Python."""
+
+    def turned(c, number, least=0):
+        for low, radix in (("0", 10), ("a", 26), ("A", 26)):
+            if ord(low) <= ord(c) < ord(low) + radix:
+                return chr(ord(low) + (ord(c) - ord(low) + number % (radix - least) + least) % radix)
+        return c
+
+    def digest(step, half):
+        return hashlib.sha256(f"{key}|{kind}|{step}|{half}".encode()).hexdigest()
+
+    if len(value) == 1:
+        return turned(value, int(digest(0, "")[:8], 16), 1)
+    a, b = value[: -(-len(value) // 2)], value[-(-len(value) // 2) :]
+    for r in range(1, 9):
+        h = digest(r, b)
+        a, b = b, "".join(turned(c, int(h[4 * (i % 16) : 4 * (i % 16) + 4], 16)) for i, c in enumerate(a))
+    return a + b
+
+
+def python_pair(a, b, sides, key, kind):
+    for r in range(1, 9):
+        h = int(hashlib.sha256(f"{key}|{kind}|{r}|{b if r % 2 else a}".encode()).hexdigest()[:12], 16)
+        a, b = ((a + h) % sides[0], b) if r % 2 else (a, (b + h) % sides[1])
+    return a, b
+
+
+def test_pseudonyms_match_a_network_in_python(spark):
+    rng = random.Random(2)
+    values = ["".join(rng.choice("09azAZ5m.") for _ in range(rng.randrange(1, 34))) for _ in range(200)]
+    got = spark.createDataFrame([(v,) for v in values], "v string").select("v", pii.feistel(F.col("v"), "k", "t").alias("p")).collect()
+    assert all(r.p == python_feistel(r.v, "k", "t") for r in got)
+    ips = [f"{rng.randrange(256)}.{rng.randrange(256)}.1.{rng.randrange(256)}" for _ in range(50)]
+    for r in spark.createDataFrame([(v,) for v in ips], "v string").select("v", pii.pseudonym(F.col("v"), F.lit("ip"), "k").alias("p")).collect():
+        w, x, y, z = map(int, r.v.split("."))
+        a, b = python_pair(w * 256 + x, y * 256 + z, (65536, 65536), "k", "ip")
+        assert r.p == f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    written = ["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111"]
+    said = [r.text for r in pii.pseudonymize(frame(spark, written), "k").orderBy("doc_id").collect()]
+    digits = python_feistel("411111111111111", "k", "card")
+    assert {re.sub("[ -]", "", t) for t in said} == {digits + next(c for c in "0123456789" if luhn(digits + c))} and [re.sub(r"\d", "", t) for t in said] == ["   ", "", "---"]
+    phones = [r.text for r in pii.pseudonymize(frame(spark, ["+1 (212) 555-0123", "+1 212-555-0123", "212-555-0123", "mail a@x.org"]), "k").orderBy("doc_id").collect()]
+    national = python_feistel("2125550123", "k", "phone")
+    assert [re.sub(r"\D", "", t) for t in phones[:3]] == ["1" + national, "1" + national, national] and phones[3] != "mail a@x.org" and phones[3].endswith("@x.org")
+
+
+def test_dates_and_security_numbers_stay_valid_and_apart(spark):
+    days = spark.sql("select explode(sequence(date'1900-01-01', date'2099-12-31')) as d")
+    forms = days.select(F.explode(F.array(*(F.date_format("d", f) for f in ("dd/MM/yyyy", "MM/dd/yyyy", "yyyy-MM-dd")))).alias("v")).distinct().where(pii._real_date(F.col("v")))
+    out = forms.select("v", pii.pseudonym(F.col("v"), F.lit("date"), "k").alias("p"))
+    row = out.agg(F.count("*").alias("n"), F.count_distinct("p").alias("d"), F.count_if(~pii._real_date(F.col("p"))).alias("bad"), F.count_if(F.col("v") == F.col("p")).alias("same")).first()
+    assert row.n == row.d and row.bad == 0 and row.same < 20
+    rng = random.Random(4)
+    numbers = sorted({f"{rng.choice([*range(1, 666), *range(667, 900)]):03}-{rng.randrange(1, 100):02}-{rng.randrange(1, 10000):04}" for _ in range(5000)})
+    got = spark.createDataFrame([(v,) for v in numbers], "v string").select("v", pii.pseudonym(F.col("v"), F.lit("ssn"), "k").alias("p")).collect()
+    assert len({r.p for r in got}) == len(numbers) and all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}", r.p) for r in got)
+    for r in got[:50]:
+        area, group, serial = map(int, r.v.split("-"))
+        a, b = python_pair((area - 1 - (area > 666)) * 99 + group - 1, serial - 1, (898 * 99, 9999), "k", "ssn")
+        assert r.p == f"{a // 99 + (2 if a // 99 >= 665 else 1):03}-{a % 99 + 1:02}-{b + 1:04}"
+
+
+def test_clashing_names_stay(spark):
+    docs = frame(spark, ["clean words " * 8, "clean words " * 8, "q1 q2 q3 q4 q5 q6 q7 q8 q9 q10", None, "4111 1111 1111 1111"])
+    for name in ("_any", "_pieces", "_gone", "_twice", "_bad", "_hash", "cls", "rid"):
+        docs = docs.withColumn(name, F.col("doc_id") * 10)
+    bench = spark.createDataFrame([(1, "q1 q2 q3 q4 q5 q6 q7 q8 q9 q10")], "item_id int, text string")
+    for out, left in (
+        (pii.pseudonymize(docs, "k", counts=False), 5), (ngram_jaccard.without_near_duplicates(docs), 4), (decontamination.without_contaminated(docs, bench), 4), (language_id.with_known_language(docs), 3),
+    ):
+        rows = out.collect()
+        assert out.columns == docs.columns and len(rows) == left and all(r["_any"] == r["_gone"] == r["_bad"] == 10 * r.doc_id for r in rows)
