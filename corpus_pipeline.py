@@ -10,27 +10,35 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.llm import decontamination, language_id, ngram_jaccard, packing, pii
 from quillspark.llm.common import staged, table
-from quillspark.llm.queries import tokenizer_path
+from quillspark.llm.queries import pseudonym_key, tokenizer_path
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts of no language: null and empty ones, those without letters, those whose best language is hardly ahead. Rows with equal texts share
+    their fate; without any lang value only texts without letters go; an empty table stays empty; all columns stay."""
     return language_id.with_known_language(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each group of linked ones, and all texts without words. Rows with a null doc_id stay. All columns
+    stay, whatever their names; an empty table stays empty."""
     return ngram_jaccard.without_near_duplicates(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops rows whose text holds a benchmark window; null and empty texts hold none and stay. Repeated rows share their fate; all columns stay; an
+    empty table stays empty, and an empty benchmark drops nothing."""
     return decontamination.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pii.pseudonymize(docs, counts=False)
+    """Every row stays, its text with pseudonyms and n_chars, where there is such a column, counted anew; null and empty texts stay as they are."""
+    out = pii.pseudonymize(docs, pseudonym_key(spark), counts=False)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each piece of each row; null and empty texts are pieces of the end id alone; an empty table gives an empty result."""
     return packing.pack_documents(docs, tokenizer_path())
 
 
