@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.column import Column
 
-from .common import ascii_lower, staged
+from .common import ascii_lower, free_name, staged
 
 WINDOW, RAREST, BROADCAST_ROWS = 10, 3, 200_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -124,7 +124,9 @@ from d left join hw using (rid) left join hi using (rid)
 
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """documents without the rows whose text holds a benchmark window; all columns and all other rows stay."""
-    bad = decontaminate(documents, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_hash")).distinct()
+    """documents without the rows whose text holds a benchmark window; all columns and all other rows stay, null and empty texts among them. An empty
+    benchmark drops nothing; rows of one id and text share their fate; an empty table stays empty."""
+    bad_id, bad_hash = free_name("_bad", documents), free_name("_hash", documents)
+    bad = decontaminate(documents, benchmark, window).where("contaminated").select(F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_hash)).distinct()
     own = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").isNull())
-    return documents.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")) & (own == F.col("_hash")), "left_anti")
+    return documents.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(bad_id)) & (own == F.col(bad_hash)), "left_anti")

@@ -370,3 +370,42 @@ def test_clashing_names_stay(spark):
     ):
         rows = out.collect()
         assert out.columns == docs.columns and len(rows) == left and all(r["_any"] == r["_gone"] == r["_bad"] == 10 * r.doc_id for r in rows)
+
+
+def test_long_texts_in_pieces_have_the_same_shingles(monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join("w" * rng.choice([1, 3, 40, 900]) + str(rng.randrange(60)) for _ in range(n)).encode() + rng.choice([b"", b" \n"]) for n in (1, 3, 4, 5, 6, 30, 300)]
+    whole = [ngram_jaccard.shingle_sets([t])[0] for t in texts]
+    monkeypatch.setattr(ngram_jaccard, "LONG_TEXT", 64)
+    assert all(np.array_equal(a, ngram_jaccard.shingle_sets([t])[0]) for a, t in zip(whole, texts))
+
+
+def test_rows_without_ids_are_linked_by_their_texts(spark):
+    words = [f"v{i}" for i in range(40)]
+    near, far = " ".join([*words[:39], "other"]), " ".join(f"z{i}" for i in range(30))
+    texts = [(7, " ".join(words)), (None, near), (None, near), (None, far), (None, far), (None, far + " more"), (None, None), (None, " "), (3, far.replace("z", "y"))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = ngram_jaccard.ngram_jaccard_components(docs).collect()
+    assert len(got) == 9 and [r.component_id for r in got if r.n_shingles and r.doc_id is None].count(7) == 2
+    assert len({r.component for r in got if r.component is not None}) == 3
+    kept = [(r.doc_id, r.text) for r in ngram_jaccard.without_near_duplicates(docs).collect()]
+    assert len(kept) == 5 and {x for x in kept if x[0]} == {texts[0], texts[8]} and (None, None) in kept and (None, " ") in kept and (None, near) not in kept
+
+
+def test_tiles_of_mixed_sides_match_brute_force(spark, monkeypatch):
+    """Groups over many tiles, whose classes partly stay in different components; hot shingles go by salt."""
+    monkeypatch.setattr(ngram_jaccard, "TILE", 4)
+    rng = random.Random(11)
+    texts, common = [], [f"common{i}" for i in range(9)]
+    for family in range(12):
+        base = [f"f{family}x{i}" for i in range(rng.choice([8, 25]))]
+        for _ in range(9):
+            w = common + base
+            for _ in range(rng.randrange(3)):
+                w[rng.randrange(9, len(w))] = f"n{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    monkeypatch.setattr(ngram_jaccard, "_levels", lambda marked: np.ones(1 << ngram_jaccard.SKETCH_BITS, np.uint8).tobytes())
+    n, comp = brute_components(texts)
+    got = {r.doc_id: r for r in ngram_jaccard.ngram_jaccard_components(frame(spark, texts)).collect()}
+    assert [got[i].n_shingles for i in range(len(texts))] == n and [got[i].component_id for i in range(len(texts))] == comp
