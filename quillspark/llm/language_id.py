@@ -1,7 +1,7 @@
 """Language identification by a linear-chain conditional random field over words (operator 9).
 
 Each word has affix, character n-gram and lexicon features (hashed); transitions between languages are learned, so the words of code-switched
-texts get labels of their own by forward-backward. A document's language is that of the largest share of word posteriors.
+texts get labels of their own by forward-backward (`word_labels`). A document's language is that of the largest share of word posteriors.
 The model is fitted on a bounded sample: at most SAMPLE_DOCS labelled documents of each language and SPAN words of each. Prediction reads whole
 texts. Forward-backward runs over all words of a batch at once: blocks of words are reduced to transfer matrices, which chain exactly.
 """
@@ -9,9 +9,9 @@ texts. Forward-backward runs over all words of a batch at once: blocks of words
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import lean, slices, thin_batches
 
 SAMPLE_DOCS, SPAN, LEXICON, BITS, CACHE, GROUP = 400, 60, 1000, 16, 250_000, 4096
+RUN_BYTES = 2 << 20
 FOLDS, HELD = 4, 2
 UND = "und"
 
@@ -30,6 +31,57 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text)
 
 
+_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+_FIXED = 8
+
+
+def _cells(h: np.ndarray, kind: int) -> np.ndarray:
+    """Places of 64-bit hashes of one kind among the hashed weights."""
+    h = (h + np.uint64(kind) * _C) * _A
+    return (((h ^ (h >> np.uint64(29))) * _B) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+class Features:
+    """Of each word: prefixes and suffixes of one to three letters, the word, its place in the lexicon (`fixed`, _FIXED columns); and its letter pairs and
+    triples with both ends marked, for all words in turn, with the place where each word's begin."""
+
+    def __init__(self, words: list[str], lexicon: dict[str, int], labels: int):
+        low = [w.lower() for w in words]
+        code = np.frombuffer("".join([f"^{w}$" for w in low]).encode("utf-32-le"), "<u4").astype(np.uint64)
+        size = np.fromiter(map(len, low), np.int64, len(low))
+        begin = np.cumsum(size + 2) - size - 2
+        first, last = begin + 1, begin + size
+        cells = []
+        for side, kinds in ((1, (1, 2, 3)), (-1, (4, 5, 6))):
+            h = np.zeros(len(low), np.uint64)
+            for k, kind in enumerate(kinds):
+                at = np.minimum(first + k, last) if side > 0 else np.maximum(last - k, first)
+                h = np.where(size > k, (h + code[at]) * _B, h)
+                cells.append(_cells(h, kind))
+        power = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(int(size.max()) + 1, _A))))
+        place = np.arange(len(code)) - np.repeat(begin, size + 2)
+        whole = np.add.reduceat(code * power[place], begin)
+        cells.append(_cells(whole, 7))
+        cells.append((1 << BITS) + np.fromiter((lexicon.get(w, labels) for w in low), np.int64, len(low)))
+        self.fixed = np.stack(cells, 1)
+        twos, threes = np.ones(len(code), bool), np.ones(len(code), bool)
+        twos[last + 1] = threes[last + 1] = threes[last] = False
+        pair = code[:-1] * _B + code[1:]
+        self.pairs = _cells(pair, 8)[twos[:-1]]
+        self.triples = _cells(pair[:-1] * _B + code[2:], 9)[threes[:-2]]
+        self.n_pairs, self.n_triples = size + 1, size
+        self.pair_begin, self.triple_begin = np.cumsum(self.n_pairs) - self.n_pairs, np.cumsum(self.n_triples) - self.n_triples
+
+    def score(self, weights: np.ndarray) -> np.ndarray:
+        grams = np.add.reduceat(weights[self.pairs], self.pair_begin, axis=0) + np.add.reduceat(weights[self.triples], self.triple_begin, axis=0)
+        return weights[self.fixed].sum(1) + grams
+
+    def add_to(self, grad: np.ndarray, per_word: np.ndarray) -> None:
+        np.add.at(grad, self.fixed.ravel(), np.repeat(per_word, _FIXED, axis=0))
+        np.add.at(grad, self.pairs, np.repeat(per_word, self.n_pairs, axis=0))
+        np.add.at(grad, self.triples, np.repeat(per_word, self.n_triples, axis=0))
+
+
 class Crf:
     """Weights of hashed features, lexicon features and transitions; labels in sorted order."""
 
@@ -39,24 +91,12 @@ class Crf:
         self.weights = np.zeros(((1 << BITS) + n + 1, n), np.float32)
         self.trans, self.start = np.zeros((n, n), np.float64), np.zeros(n, np.float64)
 
-    def features(self, word: str) -> list[int]:
-        w = word.lower()
-        b = f"^{w}$"
-        names = [f"p{w[:k]}" for k in (1, 2, 3)] + [f"s{w[-k:]}" for k in (1, 2, 3)] + [b[i : i + 2] for i in range(len(b) - 1)] + [b[i : i + 3] for i in range(len(b) - 2)] + [f"w{w}"]
-        own = [zlib.crc32(x.encode()) & ((1 << BITS) - 1) for x in names]
-        own.append((1 << BITS) + self.lexicon.get(w, len(self.labels)))
-        return own
-
     def emissions(self, words: list[str]) -> np.ndarray:
-        """Scores of each word, made for GROUP words at a time so that lists of features stay short."""
+        """Scores of each word, made for GROUP words at a time so that arrays of features stay short."""
         if not words:
             return np.zeros((0, len(self.labels)), np.float32)
-        if len(words) > GROUP:
-            return np.concatenate([self.emissions(words[lo : lo + GROUP]) for lo in range(0, len(words), GROUP)])
-        feats = [self.features(w) for w in words]
-        sizes = np.array([len(f) for f in feats])
-        flat = np.fromiter((x for f in feats for x in f), np.int64, sizes.sum())
-        return np.add.reduceat(self.weights[flat], np.concatenate(([0], np.cumsum(sizes)[:-1])), axis=0)
+        parts = (words[lo : lo + GROUP] for lo in range(0, len(words), GROUP))
+        return np.concatenate([Features(part, self.lexicon, len(self.labels)).score(self.weights) for part in parts])
 
     def fit(self, spans: list[tuple[list[str], int]], rounds: int = 40, rate: float = 0.3, l2: float = 1e-4, seed: int = 7) -> Crf:
         """Full-batch AdaGrad on spans of equal labels, half of them joined in pairs so that transitions are seen."""
@@ -72,9 +112,7 @@ class Crf:
         if not seqs:
             return self
         vocab = {w: i for i, w in enumerate(dict.fromkeys(w for s, _ in seqs for w in s))}
-        feats = [self.features(w) for w in vocab]
-        sizes = np.array([len(f) for f in feats])
-        flat, begin = np.fromiter((x for f in feats for x in f), np.int64, sizes.sum()), np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        feats = Features(list(vocab), self.lexicon, len(self.labels))
         steps, n = max(len(s) for s, _ in seqs), len(self.labels)
         ids, gold = np.full((len(seqs), steps), -1), np.full((len(seqs), steps), -1)
         for k, (s, y) in enumerate(seqs):
@@ -84,7 +122,7 @@ class Crf:
         sums = [np.zeros_like(self.weights, np.float64), np.full_like(self.trans, 1e-8), np.full_like(self.start, 1e-8)]
         sums[0] += 1e-8
         for _ in range(rounds):
-            e = np.add.reduceat(self.weights[flat], begin, axis=0)[np.maximum(ids, 0)].astype(np.float64)
+            e = feats.score(self.weights)[np.maximum(ids, 0)].astype(np.float64)
             e = np.exp(e - e.max(2, keepdims=True))
             t = np.exp(self.trans)
             alpha, beta = np.empty_like(e), np.ones_like(e)
@@ -102,7 +140,7 @@ class Crf:
             per_word = np.zeros((len(vocab), n))
             np.add.at(per_word, ids[live], diff[live])
             grad_w = np.zeros_like(self.weights, np.float64)
-            np.add.at(grad_w, flat, np.repeat(per_word, sizes, axis=0))
+            feats.add_to(grad_w, per_word)
             pair = alpha[:, :-1, :, None] * t * (e[:, 1:] * beta[:, 1:])[:, :, None, :]
             pair = pair / np.maximum(pair.sum((2, 3), keepdims=True), 1e-300) * live[:, 1:, None, None]
             seen = (onehot[:, :-1, :, None] * onehot[:, 1:, None, :]).sum((0, 1))
@@ -112,12 +150,12 @@ class Crf:
                 value -= (rate * grad / np.sqrt(s)).astype(value.dtype)
         return self
 
-    def posteriors(self, emissions: np.ndarray, first: np.ndarray, blocks: int = 2048) -> np.ndarray:
-        """Marginals of each word. first: true where a text begins. Exact for any number of blocks."""
+    def posteriors(self, emissions: np.ndarray, first: np.ndarray, blocks: int | None = None) -> np.ndarray:
+        """Marginals of each word. first: true where a text begins. Exact for any number of blocks; as many as a block has words cost least."""
         total, n = emissions.shape
         if not total:
             return emissions
-        width = -(-total // min(blocks, max(1, total // 16)))
+        width = -(-total // min(blocks or int(total**0.5) + 1, max(1, total // 16)))
         count = -(-total // width)
         pad = count * width - total
         e = np.exp(emissions - emissions.max(1, keepdims=True)).astype(np.float32)
@@ -187,48 +225,85 @@ def fit_crf(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Crf:
     return Crf(labels, lexicon).fit(spans)
 
 
-def _predict(model: Crf):
+def _posteriors(model: Crf):
+    """Over batches and the number of their text column: runs of rows with their words, how many each row has, where they begin, and the posteriors."""
     memory: dict = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple]:
         n = len(model.labels)
         known: dict[str, int] = memory.get("known", {})
         table = memory.get("table", np.zeros((1 << 16, n), np.float32))
-        for batch in slices(batches, 2):
-            part = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()))
-            words = [words_of(r[2] or "") if n else [] for r in part]
+        for batch in slices(batches, column, RUN_BYTES):
+            words = [words_of(t or "") if n else [] for t in batch.column(column).to_pylist()]
+            sizes = np.fromiter(map(len, words), np.int64, len(words))
+            # each distinct word of the run is looked up once
+            coded = pa.array(list(chain.from_iterable(words)), pa.string()).dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
             if len(known) > CACHE:
                 known = {}
-            ids = [list(map(known.get, w)) for w in words]
-            fresh = list(dict.fromkeys(w for ws, own in zip(words, ids) if None in own for w, k in zip(ws, own) if k is None))
+            fresh = [w for w in distinct if w not in known]
             if fresh:
                 lo = len(known)
                 while lo + len(fresh) > len(table):
                     table = np.concatenate((table, np.zeros_like(table)))
                 table[lo : lo + len(fresh)] = model.emissions(fresh)
                 known.update(zip(fresh, range(lo, lo + len(fresh))))
-                ids = [[known[w] for w in ws] if None in own else own for ws, own in zip(words, ids)]
-            sizes = np.array([len(w) for w in words])
-            flat = np.fromiter((k for own in ids for k in own), np.int64, sizes.sum())
-            first = np.zeros(len(flat), bool)
+            number = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
+            flat = number[coded.indices.to_numpy(zero_copy_only=False)]
             begin = np.cumsum(sizes) - sizes
+            first = np.zeros(len(flat), bool)
             first[begin[sizes > 0]] = True
-            post = model.posteriors(table[flat], first)
+            memory.update(known=known, table=table)
+            yield batch, words, sizes, begin, model.posteriors(table[flat], first)
+
+    return run
+
+
+def _predict(model: Crf):
+    """Rows (doc_id, held_out, text) -> doc_id, held_out, lang_pred, score."""
+    posteriors = _posteriors(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, sizes, begin, post in posteriors(batches, 2):
             langs, scores = [], []
-            for k, (lo, size) in enumerate(zip(begin.tolist(), sizes.tolist())):
+            for text, lo, size in zip(batch.column(2).to_pylist(), begin.tolist(), sizes.tolist()):
                 share = post[lo : lo + size].mean(0) if size else None
-                if share is None or not any(map(str.isalpha, part[k][2])):
+                if share is None or not any(map(str.isalpha, text)):
                     langs.append(UND)
                     scores.append(0.0)
                 else:
                     langs.append(model.labels[int(share.argmax())])
                     scores.append(min(1.0, float(share.max())))
-            memory.update(known=known, table=table)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.bool_()), pa.array(langs), pa.array(scores)], names=["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return run
 
 
+def word_labels(documents: DataFrame, model: Crf | None = None) -> DataFrame:
+    """documents (doc_id, text, lang, ...) -> doc_id, at (place of the word from 0), word, label, posterior: a row for each word of letters, by
+    forward-backward over the whole text, so that the words of code-switched texts get labels of their own.
+
+    Null texts and texts without letters give no rows, nor does a table without any labelled document; repeated rows give theirs each. Other columns
+    are ignored."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    model = model or fit_crf(docs)
+    posteriors = _posteriors(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, words, sizes, begin, post in posteriors(batches, 1):
+            if not len(post):
+                continue
+            row, best = np.repeat(np.arange(len(sizes)), sizes), post.argmax(1)
+            at = np.arange(len(row)) - np.repeat(begin, sizes)
+            cols = [
+                batch.column(0).take(pa.array(row)), pa.array(at, pa.int32()), pa.array(list(chain.from_iterable(words)), pa.string()), pa.array(model.labels).take(pa.array(best)),
+                pa.array(post.max(1).astype(np.float64)),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "at", "word", "label", "posterior"])
+
+    return thin_batches(docs).select("doc_id", "text").mapInArrow(lean("language_id", run), "doc_id long, at int, word string, label string, posterior double")
+
+
 def identify_languages(documents: DataFrame, model: Crf | None = None) -> DataFrame:
     """documents (doc_id, text, lang, ...) -> doc_id, held_out, lang_pred, score; one row for each row. lang is read for fitting alone.
 

@@ -409,3 +409,28 @@ def test_tiles_of_mixed_sides_match_brute_force(spark, monkeypatch):
     n, comp = brute_components(texts)
     got = {r.doc_id: r for r in ngram_jaccard.ngram_jaccard_components(frame(spark, texts)).collect()}
     assert [got[i].n_shingles for i in range(len(texts))] == n and [got[i].component_id for i in range(len(texts))] == comp
+
+
+def test_words_of_mixed_texts_get_labels_of_their_own(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 300")
+    model = language_id.fit_crf(docs)
+    held = docs.where(language_id.held_out()).where("lang in ('en', 'de', 'es')").orderBy("doc_id").limit(60).collect()
+    words = {lang: [w for r in held if r.lang == lang for w in language_id.words_of(r.text)] for lang in ("en", "de", "es")}
+    parts = [("en", words["en"][:40]), ("de", words["de"][:30]), ("es", words["es"][:50]), ("en", words["en"][40:60])]
+    mixed = spark.createDataFrame([(1, "12 " + ", ".join(w for _, ws in parts for w in ws), "en"), (2, None, "en"), (3, " 7", "en")], "doc_id long, text string, lang string")
+    got = language_id.word_labels(mixed, model).orderBy("at").collect()
+    want = [lang for lang, ws in parts for _ in ws]
+    assert [(r.doc_id, r.at, r.word) for r in got] == [(1, i, w) for i, w in enumerate(w for _, ws in parts for w in ws)]
+    assert np.mean([r.label == y for r, y in zip(got, want)]) > 0.9 and all(0.25 <= r.posterior <= 1.0001 for r in got)
+
+
+def test_word_features_depend_on_the_word_alone():
+    words = ["a", "ab", "Abc", "straße", "İstanbul", "x" * 70, "é"]
+    together = language_id.Features(words, {"ab": 1}, 3)
+    rng = np.random.default_rng(0)
+    weights = rng.normal(size=((1 << language_id.BITS) + 4, 3)).astype(np.float32)
+    alone = [language_id.Features([w], {"ab": 1}, 3).score(weights)[0] for w in words]
+    assert np.allclose(together.score(weights), alone, atol=1e-4)
+    grad, per_word = np.zeros(weights.shape), rng.normal(size=(len(words), 3))
+    together.add_to(grad, per_word)
+    assert np.isclose((grad * weights).sum(), (per_word * together.score(weights)).sum(), rtol=1e-4)
