@@ -194,7 +194,7 @@ def _class_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int],
 
 
 def _prefixes(levels: bytes, percent: int):
-    """key, cls, n (size of the set), salt (0 but for keys of cells above the sketch's mean)."""
+    """key, cls, and in one number, as a shuffled row has 8 bytes for each: 256 n (size of the set) + salt (0 but for keys of cells above the mean)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(levels, np.uint8)
@@ -204,10 +204,10 @@ def _prefixes(levels: bytes, percent: int):
                 take = len(s) - -(-percent * len(s) // 100) + 1
                 rarity = level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 order = np.argsort(rarity, kind="stable")[:take]
-                salt = np.where(rarity[order] > 0, c % SALTS + 1, 0).astype(np.int32)
-                out.append((s[order].view(np.int64), np.full(take, c, np.int64), np.full(take, len(s), np.int32), salt))
+                salt = np.where(rarity[order] > 0, c % SALTS + 1, 0)
+                out.append((s[order].view(np.int64), np.full(take, c, np.int64), len(s) * 256 + salt))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["key", "cls", "n", "salt"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["key", "cls", "of"])
 
     return run
 
@@ -370,11 +370,14 @@ def ngram_jaccard_components(documents: DataFrame, percent: int = PERCENT) -> Da
     reps = staged(reps.select(F.monotonically_increasing_id().alias("cls"), "h1", "h2", "r.doc_id", "r.th", "class_rows", "bits"), "classes")
     bits = reps.select("cls", "bits")
 
-    prefixes = _of_classes(docs, reps).mapInArrow(lean("ngram_jaccard", _prefixes(levels, percent)), "key long, cls long, n int, salt int")
+    prefixes = _of_classes(docs, reps).mapInArrow(lean("ngram_jaccard", _prefixes(levels, percent)), "key long, cls long, of long")
     # a key of one class alone links nothing; rows of hot keys, spread by salt, are kept without that test
+    salt = F.col("of") % 256
+    prefixes = prefixes.repartition("key", salt).withColumn("salt", salt)
     by_key = Window.partitionBy("key", "salt")
     hits = prefixes.withColumns({"lo": F.min("cls").over(by_key), "hi": F.max("cls").over(by_key)}).where("lo <> hi or salt > 0")
-    hits = staged(hits.select("key", "salt", "cls", "n").dropDuplicates(["key", "salt", "cls"]), "hits")
+    hits = hits.select("key", "salt", "cls", "of").dropDuplicates(["key", "salt", "cls"])
+    hits = staged(hits.select("key", F.col("salt").cast("int").alias("salt"), "cls", F.floor(F.col("of") / 256).cast("int").alias("n")), "hits")
 
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
     places = F.array(F.struct(band.alias("band"), F.lit(0).alias("guest")), F.struct((band - 1).alias("band"), F.lit(1).alias("guest")))
@@ -404,11 +407,12 @@ def ngram_jaccard_components(documents: DataFrame, percent: int = PERCENT) -> Da
     spread = named.groupBy("key", "band", "comp").agg(F.count(F.lit(1)).alias("c"), (F.max("salt") > 0).alias("hot"))
     spread = spread.groupBy("key", "band").agg(F.max(F.struct("c", "comp")).alias("major"), F.count(F.lit(1)).alias("comps"), F.max("hot").alias("hot")).where("comps > 1")
     spread = _salted(spread.select("key", "band", F.col("major.comp").alias("big"), F.col("major.c").alias("big_n"), "hot"))
-    # the largest component's classes, in tiles of their own, meet the others but not each other
+    # a group that fills one tile at most stays whole; in others the largest component's classes, in tiles of their own, meet the rest but not each other
     open_ = named.join(spread, ["key", "band", "salt"])
+    one = F.col("size") <= TILE
     open_ = open_.withColumns({"others": _tiles_for(F.col("size") - F.col("big_n")), "bigs": _tiles_for(F.col("big_n")), "is_big": F.col("comp") == F.col("big")})
-    open_ = open_.withColumn("k", F.when(F.col("is_big"), F.col("others") + _dealt(F.col("bigs"))).otherwise(_dealt(F.col("others"))))
-    facing = F.sequence(F.lit(0), F.when(F.col("is_big"), F.col("others")).otherwise(F.col("others") + F.col("bigs")) - 1)
+    open_ = open_.withColumn("k", F.when(one, F.lit(0)).when(F.col("is_big"), F.col("others") + _dealt(F.col("bigs"))).otherwise(_dealt(F.col("others"))))
+    facing = F.sequence(F.lit(0), F.when(one, F.lit(1)).when(F.col("is_big"), F.col("others")).otherwise(F.col("others") + F.col("bigs")) - 1)
     second = open_.withColumn("o", F.explode(facing)).withColumns({"t1": F.least("k", "o"), "t2": F.greatest("k", "o"), "side": F.col("k")}).join(bits, "cls")
     more = staged(_tile_order(second, False, percent).join(tried, ["a", "b"], "left_anti"), "pairs2")
     late = _verified(more, docs, reps, percent)
