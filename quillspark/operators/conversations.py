@@ -33,8 +33,15 @@ def decoded(json: Column) -> Column:
 
 
 def tool_call_text(name: Column, arguments: Column) -> Column:
-    """JSON of a call's name and arguments; arguments are JSON text already."""
-    return F.concat(F.lit('{"name":'), F.to_json(F.struct(name.alias("n"))).substr(F.lit(6), F.length(F.to_json(F.struct(name.alias("n")))) - 6), F.lit(',"arguments":'), F.regexp_replace(arguments, r"\s", ""), F.lit("}"))
+    """JSON of a call's name and arguments. Arguments are JSON text; they are parsed and written anew, so that white space between values goes and that
+    within them stays. What is no JSON is an error."""
+    return F.concat(F.lit('{"name":'), F.to_json(F.parse_json(F.to_json(F.array(name)))).substr(F.lit(2), F.length(F.to_json(F.array(name))) - 2), F.lit(',"arguments":'), F.to_json(F.parse_json(arguments)), F.lit("}"))
+
+
+def turn_text(turn: Column) -> Column:
+    """What a turn says: its text, the call as JSON, or the result's content."""
+    call = tool_call_text(turn["name"], turn["arguments"])
+    return F.when(turn["type"] == "tool_call", call).when(turn["type"] == "tool_result", turn["content"]).otherwise(turn["text"])
 
 
 def role_name(role: Column, custom: Column) -> Column:

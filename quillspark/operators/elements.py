@@ -11,9 +11,14 @@ from ..schemas import LEVELS
 BOX = ["x0", "y0", "x1", "y1"]
 
 
-def flat_words(words: Column) -> Column:
-    """Words -> elements: ids from 0, no parent, word level, box of unit cells."""
-    return F.transform(words, lambda w, i: F.struct(i.alias("id"), F.lit(-1).alias("parent_id"), F.lit(LEVELS["word"]).alias("level"), w.alias("text")))
+def flat_words(words: Column, boxes: Column | None = None, segmentations: Column | None = None) -> Column:
+    """Words, with a box and polygons each where given -> elements: ids from 0, no parent, word level. Lists of unequal lengths are an error."""
+    extra = {k: c for k, c in (("bbox", boxes), ("segmentation", segmentations)) if c is not None}
+    if not extra:
+        return F.transform(words, lambda w, i: F.struct(i.alias("id"), F.lit(-1).alias("parent_id"), F.lit(LEVELS["word"]).alias("level"), w.alias("text")))
+    fit = lambda c: F.when(F.size(c) == F.size(words), c).otherwise(F.raise_error(F.lit("words and what they have differ in number")))
+    zipped = F.arrays_zip(words.alias("text"), *(fit(c).alias(k) for k, c in extra.items()))
+    return F.transform(zipped, lambda e, i: F.struct(i.alias("id"), F.lit(-1).alias("parent_id"), F.lit(LEVELS["word"]).alias("level"), e["text"].alias("text"), *(e[k].alias(k) for k in extra)))
 
 
 def line_words(text: Column) -> Column:
@@ -22,24 +27,31 @@ def line_words(text: Column) -> Column:
     return F.flatten(F.transform(F.split(text, "\n"), lambda s, l: F.transform(words(s), lambda w, k: F.struct(l.alias("line"), k.alias("k"), w.alias("word")))))
 
 
+def element_items(text: Column) -> Column:
+    """Elements of a text as one array: page 0, then a line per text line, then the words. Word k of line l has the box (k, l, k+1, l+1)."""
+
+    def one(id_: Column, parent: Column, level: str, box: tuple[Column, ...], own: Column) -> Column:
+        fixed = (id_.cast("int").alias("id"), parent.cast("int").alias("parent_id"), F.lit(LEVELS[level]).alias("level"))
+        return F.struct(*fixed, *(c.cast("double").alias(n) for c, n in zip(box, BOX)), own.alias("text"))
+
+    def tree(parts: Column) -> Column:
+        lines, words = parts["lines"], parts["words"]
+        wide = lambda s: F.size(F.array_remove(F.split(s, " "), ""))
+        zero, none = F.lit(0), F.lit("")
+        longest = F.array_max(F.transform(lines, wide))
+        page = F.array(one(zero, F.lit(-1), "page", (zero, zero, longest, F.size(lines)), none))
+        rows = F.transform(lines, lambda s, i: one(i + 1, zero, "line", (zero, i, wide(s), i + 1), none))
+        leaves = F.transform(words, lambda e, i: one(F.size(lines) + 1 + i, e["line"] + 1, "word", (e["k"], e["line"], e["k"] + 1, e["line"] + 1), e["word"]))
+        return F.concat(page, rows, leaves)
+
+    parts = F.struct(F.split(text, "\n").alias("lines"), line_words(text).alias("words"))
+    return F.get(F.transform(F.array(parts), tree), F.lit(0))
+
+
 def element_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, id, parent_id, level, x0, y0, x1, y1, text: page 0, then a line per text line, then the words. Word k of line l has the box (k, l, k+1, l+1)."""
-    base = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).withColumn("n_lines", F.size(F.split("t", "\n")))
-    words = base.select("doc_id", "n_lines", F.posexplode(line_words(F.col("t"))).alias("w", "e")).select(
-        "doc_id",
-        (F.col("n_lines") + 1 + F.col("w")).alias("id"),
-        (F.col("e.line") + 1).alias("parent_id"),
-        F.lit(LEVELS["word"]).alias("level"),
-        *(c.cast("double").alias(n) for c, n in zip((F.col("e.k"), F.col("e.line"), F.col("e.k") + 1, F.col("e.line") + 1), BOX)),
-        F.col("e.word").alias("text"),
-    )
-    wide = F.size(F.array_remove(F.split(F.col("s"), " "), "")).cast("double")
-    lines = base.select("doc_id", F.posexplode(F.split("t", "\n")).alias("l", "s")).select(
-        "doc_id", (F.col("l") + 1).alias("id"), F.lit(0).alias("parent_id"), F.lit(LEVELS["line"]).alias("level"), F.lit(0.0).alias("x0"), F.col("l").cast("double").alias("y0"), wide.alias("x1"), (F.col("l") + 1).cast("double").alias("y1"), F.lit("").alias("text")
-    )
-    longest = F.array_max(F.transform(F.split("t", "\n"), lambda s: F.size(F.array_remove(F.split(s, " "), "")))).cast("double")
-    pages = base.select("doc_id", F.lit(0).alias("id"), F.lit(-1).alias("parent_id"), F.lit(LEVELS["page"]).alias("level"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), longest.alias("x1"), F.col("n_lines").cast("double").alias("y1"), F.lit("").alias("text"))
-    return pages.unionByName(lines).unionByName(words)
+    """doc_id, id, parent_id, level, x0, y0, x1, y1, text: a row for each element, made in one pass over the texts. Null texts have none."""
+    base = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.explode(element_items(F.col(text))).alias("e"))
+    return base.select("doc_id", "e.*")
 
 
 def at(items: Column, level: str) -> Column:
@@ -47,21 +59,32 @@ def at(items: Column, level: str) -> Column:
     return F.when(F.forall(items, lambda e: e["level"].isNull()), items).otherwise(F.filter(items, lambda e: e["level"] == LEVELS[level]))
 
 
-def parent_boxes(rows: DataFrame) -> DataFrame:
-    """Adds px0..py1, the parent's box; roots and dangling parents get their own. A left self join, co-partitioned by document."""
-    parent = rows.select(F.col("doc_id").alias("_d"), F.col("id").alias("_p"), *(F.col(c).alias(f"_{c}") for c in BOX))
+def parent_boxes(rows: DataFrame, parents: DataFrame | None = None) -> DataFrame:
+    """Adds px0..py1, the parent's box; roots and dangling parents get their own. A left join by document and id with those rows that may be parents,
+    all if not told."""
+    parent = (rows if parents is None else parents).select(F.col("doc_id").alias("_d"), F.col("id").alias("_p"), *(F.col(c).alias(f"_{c}") for c in BOX))
     joined = rows.join(parent, (F.col("doc_id") == F.col("_d")) & (F.col("parent_id") == F.col("_p")), "left")
     return joined.select(*rows.columns, *(F.coalesce(f"_{c}", c).alias(f"p{c}") for c in BOX))
 
 
+def inner_rows(rows: DataFrame) -> DataFrame:
+    """Rows that may be parents in a tree whose leaves are words."""
+    return rows.where(F.col("level").isNull() | (F.col("level") < LEVELS["word"]))
+
+
 def parent_boxes_hof(items: Column) -> Column:
-    """The same within an array of structs (id, parent_id, bbox): quadratic in its size, for small arrays."""
+    """The same within an array of structs (id, parent_id, bbox). Where ids are places in the array a parent is one step away; an id elsewhere is looked
+    for, which is linear for each such element."""
     ids = F.transform(items, lambda e: e["id"])
-    return F.transform(items, lambda e: F.coalesce(F.get(items, F.array_position(ids, e["parent_id"]).cast("int") - 1)["bbox"], e["bbox"]))
+    near = lambda e: F.get(items, e["parent_id"].cast("int"))
+    far = lambda e: F.get(items, F.array_position(ids, e["parent_id"]).cast("int") - 1)["bbox"]
+    own = lambda e: F.when(e["parent_id"] == -1, e["bbox"]).when(near(e)["id"] == e["parent_id"], near(e)["bbox"]).otherwise(far(e))
+    return F.transform(items, lambda e: F.coalesce(own(e), e["bbox"]))
 
 
 def segment_boxes(rows: DataFrame, level: str = "line") -> DataFrame:
-    return parent_boxes(rows).where(F.col("level") == LEVELS[level])
+    """Parent boxes of one level's elements; others are not joined."""
+    return parent_boxes(rows.where(F.col("level") == LEVELS[level]), inner_rows(rows))
 
 
 def dangling(rows: DataFrame) -> DataFrame:
@@ -70,6 +93,43 @@ def dangling(rows: DataFrame) -> DataFrame:
     return child.join(rows.select("doc_id", F.col("id").alias("parent_id")), ["doc_id", "parent_id"], "left_anti")
 
 
+def word_boxes(items: Column) -> Column:
+    """Boxes of words, those of blank words included."""
+    return F.transform(at(items, "word"), lambda e: e["bbox"])
+
+
+def word_texts(items: Column) -> Column:
+    """Texts of words, blank ones left out."""
+    return F.filter(F.transform(at(items, "word"), lambda e: e["text"]), lambda t: F.trim(t) != "")
+
+
+def words(items: Column) -> Column:
+    """(text, bbox) of words that aren't blank, so that both stay together."""
+    return F.transform(F.filter(at(items, "word"), lambda e: F.trim(e["text"]) != ""), lambda e: F.struct(e["text"].alias("text"), e["bbox"].alias("bbox")))
+
+
+def checked(elements: Column) -> Column:
+    """elements (bbox_mode, normalized, items), or an error that says what is wrong: an item without four numbers, a normalised box out of [0, 1], an
+    id that occurs twice."""
+    items = elements["items"]
+    boxes = F.transform(items, lambda e: e["bbox"])
+    four = F.forall(boxes, lambda b: b.isNull() | (F.size(b) == 4))
+    inside = F.forall(boxes, lambda b: b.isNull() | ((F.array_min(b) >= 0) & (F.array_max(b) <= 1)))
+    once = F.size(F.array_distinct(F.transform(items, lambda e: e["id"]))) == F.size(items)
+    wrong = lambda text: F.raise_error(F.lit(text))
+    fault = F.when(~four, wrong("a box has four values")).when(elements["normalized"] & ~inside, wrong("a normalised box lies in [0, 1]")).when(~once, wrong("ids are unique"))
+    return F.when(elements.isNull() | fault.isNull(), elements)
+
+
+def with_read_defaults(elements: Column) -> Column:
+    """What is read without saying so is normalised and in corners; what is built is not normalised (`with_built_defaults`)."""
+    return elements.withField("normalized", F.coalesce(elements["normalized"], F.lit(True))).withField("bbox_mode", F.coalesce(elements["bbox_mode"], F.lit("xyxy")))
+
+
+def with_built_defaults(elements: Column) -> Column:
+    return elements.withField("normalized", F.coalesce(elements["normalized"], F.lit(False))).withField("bbox_mode", F.coalesce(elements["bbox_mode"], F.lit("xyxy")))
+
+
 def joined_text(items: Column, sep: str = " ") -> Column:
     return F.array_join(F.filter(F.transform(items, lambda e: e["text"]), lambda t: t != ""), sep)
 

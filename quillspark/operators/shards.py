@@ -22,11 +22,22 @@ def renumbered(shards: DataFrame) -> DataFrame:
     return shards.where("nsamples > 0").withColumn("shard", F.row_number().over(Window.orderBy("shard")).cast("long"))
 
 
-def locate(indices: DataFrame, shards: DataFrame) -> DataFrame:
-    """indices (idx) -> idx, shard, inner: running sums of the shards' sizes, then a range join with the broadcast shard table."""
+def locate(indices: DataFrame, shards: DataFrame, width: int | None = None) -> DataFrame:
+    """indices (idx) -> idx, shard, inner: running sums of the shards' sizes, then a range join made an equi-join: both sides go by blocks of `width`
+    places (the mean size of a shard, if not told), so each index meets the few shards of its block. Indices outside all shards are left out."""
     upto = F.sum("nsamples").over(Window.orderBy("shard"))
-    bounds = shards.select("shard", (upto - F.col("nsamples")).alias("lo"), upto.alias("hi"))
-    return indices.join(F.broadcast(bounds), (F.col("idx") >= F.col("lo")) & (F.col("idx") < F.col("hi"))).select("idx", "shard", (F.col("idx") - F.col("lo")).alias("inner"))
+    bounds = shards.where("nsamples > 0").select("shard", (upto - F.col("nsamples")).alias("lo"), upto.alias("hi"))
+    if width is None:
+        width = max(1, int(shards.agg(F.avg("nsamples")).first()[0] or 1))
+    blocks = bounds.withColumn("_block", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
+    placed = indices.withColumn("_block", F.floor(F.col("idx") / width))
+    found = placed.join(blocks, "_block").where((F.col("idx") >= F.col("lo")) & (F.col("idx") < F.col("hi")))
+    return found.select("idx", "shard", (F.col("idx") - F.col("lo")).alias("inner"))
+
+
+def write_totals(shards: DataFrame) -> DataFrame:
+    """n_shards, nsamples, nbytes of what was written, empty shards left out."""
+    return shards.where("nsamples > 0").agg(F.count(F.lit(1)).alias("n_shards"), F.coalesce(F.sum("nsamples"), F.lit(0)).alias("nsamples"), F.coalesce(F.sum("nbytes"), F.lit(0)).alias("nbytes"))
 
 
 def split_info(rows: DataFrame, size: Column) -> DataFrame:

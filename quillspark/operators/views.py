@@ -11,6 +11,7 @@ from pyspark.sql.column import Column
 from ..session import written
 
 POS = "_pos"
+BROADCAST_ROWS, EXACT_ROWS = 100_000, 1_000_000
 
 
 def with_positions(df: DataFrame, *order: str) -> DataFrame:
@@ -65,12 +66,14 @@ class View:
         return View(rows.withColumn(POS, F.floor((F.col(POS) - lo) / step).cast("long")), self.transforms)
 
     def take(self, indices: list[int]) -> DataFrame:
-        """Rows at the given positions, in their order; negative ones count from the end."""
-        size = len(self) if any(i < 0 for i in indices) else None
-        at = [i + size if i < 0 else i for i in indices]
-        want = self.base.sparkSession.createDataFrame(list(enumerate(at)), f"_at long, {POS} long")
-        got = self.frame.join(F.broadcast(want), POS).orderBy("_at")
-        return got.drop("_at")
+        """Rows at the given positions, in their order; negative ones count from the end, those outside are an IndexError."""
+        size = len(self)
+        if outside := [i for i in indices if not -size <= i < size]:
+            raise IndexError(f"{outside[:5]} of {size} rows")
+        want = self.base.sparkSession.createDataFrame(list(enumerate(i % size for i in indices)), f"_at long, {POS} long")
+        # the list is the caller's own; beyond a bound it is joined as any table
+        want = F.broadcast(want) if len(indices) <= BROADCAST_ROWS else want
+        return self.frame.join(want, POS).orderBy("_at").drop("_at")
 
     def __getitem__(self, index: int | slice) -> DataFrame:
         if isinstance(index, slice):
@@ -84,8 +87,10 @@ class View:
         return self.base.count()
 
     def shuffle(self, seed: int, exact: bool = False) -> View:
-        """A permutation that the seed fixes. exact: numpy's default_rng(seed).permutation, made on the driver, for views it can hold."""
+        """A permutation that the seed fixes. exact: numpy's default_rng(seed).permutation, made on the driver, for views of EXACT_ROWS rows at most."""
         if exact:
+            if len(self) > EXACT_ROWS:
+                raise ValueError(f"numpy's permutation is made on the driver, for {EXACT_ROWS} rows at most; leave exact out")
             order = np.random.default_rng(seed).permutation(len(self))
             places = self.base.sparkSession.createDataFrame([(int(p), i) for i, p in enumerate(order)], f"{POS} long, _new long")
             return View(self.base.join(places, POS).withColumn(POS, F.col("_new")).drop("_new"), self.transforms)

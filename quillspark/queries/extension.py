@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..operators import joins
 from ..session import table
 from .registry import registrar
 
@@ -29,9 +31,11 @@ def ext_semi_join(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey")
 
 
-@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'F' and o_orderpriority = '1-URGENT')")
 def ext_anti_join(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    """Customers without an urgent order that is finished."""
+    urgent = table(spark, d, "orders").where("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").join(urgent, "c_custkey", "left_anti").select("c_custkey")
 
 
 @query("select p_partkey, count(l_orderkey) as n from part left join lineitem on l_partkey = p_partkey group by 1")
@@ -52,14 +56,13 @@ def ext_cross_join(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "region").select("r_name").crossJoin(F.broadcast(table(spark, d, "nation").select("n_name")))
 
 
-_LAST = "(select max_by(b.value, b.event_id) from events b where b.user_id = a.user_id and b.event_type = 'purchase' and (b.ts < a.ts or (b.ts = a.ts and b.event_id <= a.event_id)))"
-
-
-@query("select event_id, last_value(case when event_type = 'purchase' then value end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as last_purchase from events")
+@query("""with r as (select user_id, ts, max_by(value, event_id) as last_purchase from events where event_type = 'purchase' group by 1, 2)
+select l.event_id, l.user_id, r.last_purchase from (select * from events where event_type <> 'purchase') l asof left join r on l.user_id = r.user_id and l.ts >= r.ts""")
 def ext_as_of_join(spark: SparkSession, d: str) -> DataFrame:
-    """The last purchase up to each event: one shuffle by user and a carry-forward window instead of a range join."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "events").select("event_id", F.last(F.when(F.col("event_type") == "purchase", F.col("value")), ignorenulls=True).over(w).alias("last_purchase"))
+    """Two tables: each event that is no purchase with the user's last purchase up to it."""
+    e = table(spark, d, "events")
+    bought = e.where("event_type = 'purchase'").select("user_id", "ts", "event_id", F.col("value").alias("last_purchase"))
+    return joins.as_of(e.where("event_type <> 'purchase'").select("user_id", "ts", "event_id"), bought, ["user_id"], "ts", "event_id", ["last_purchase"]).drop("ts")
 
 
 @query("select p_brand, p_size, count(*) as n from part group by rollup (p_brand, p_size)")
@@ -101,9 +104,9 @@ def ext_intersect(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(spark, d, "supplier").select("s_nationkey"))
 
 
-@query("select p_partkey as k from part except select l_partkey from lineitem where l_quantity > 10")
+@query("select p_partkey as k from part except select l_partkey from lineitem where l_quantity > 49")
 def ext_except(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select(F.col("p_partkey").alias("k")).subtract(table(spark, d, "lineitem").where("l_quantity > 10").select("l_partkey"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("k")).subtract(table(spark, d, "lineitem").where("l_quantity > 49").select("l_partkey"))
 
 
 @query("select event_type, count(distinct user_id) as users, median(value) as middle from events group by 1")
@@ -131,3 +134,47 @@ def ext_salted_aggregate(spark: SparkSession, d: str) -> DataFrame:
     salt = F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(16))
     part = table(spark, d, "lineitem").groupBy("l_suppkey", salt.alias("salt")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("qty"))
     return part.groupBy("l_suppkey").agg(F.sum("n").alias("n"), F.sum("qty").alias("qty"))
+
+
+@query("select event_type, max(value) - min(value) as reach from events group by 1")
+def ext_udaf(spark: SparkSession, d: str) -> DataFrame:
+    """An aggregate in pandas over partial results: Spark's own aggregates make two numbers of each group first, so that no task holds a group's rows."""
+
+    @F.pandas_udf("double")
+    def reach(low: pd.Series, high: pd.Series) -> float:
+        return float(high.max() - low.min())
+
+    part = table(spark, d, "events").groupBy("event_type", F.pmod(F.xxhash64("event_id"), F.lit(16)).alias("salt")).agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    return part.groupBy("event_type").agg(reach("low", "high").alias("reach"))
+
+
+class _Letters:
+    def eval(self, text: str):
+        for i, c in enumerate(text or ""):
+            yield i, c
+
+
+@query("with n as (select n_nationkey, n_name, unnest(range(length(n_name))) as i from nation) select n_nationkey, cast(i as bigint) as place, substr(n_name, cast(i + 1 as bigint), 1) as letter from n")
+def ext_udtf(spark: SparkSession, d: str) -> DataFrame:
+    """A table function in Python, beside each row of a table."""
+    letters = F.udtf(_Letters, returnType="place long, letter string")
+    spark.udtf.register("quill_letters", letters)
+    return spark.sql("select n_nationkey, t.place, t.letter from {n}, lateral quill_letters(n_name) t", n=table(spark, d, "nation"))
+
+
+@query("""select o_orderkey, cast(year(o_orderdate) as bigint) as y, cast(quarter(o_orderdate) as bigint) as q, cast(dayofweek(o_orderdate) as bigint) as dow,
+strftime(last_day(o_orderdate), '%Y-%m-%d') as month_end, strftime(o_orderdate + interval 3 month, '%Y-%m-%d') as later, date_diff('day', date '1992-01-01', cast(o_orderdate as date)) as days from orders""")
+def ext_dates(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("o_orderdate")
+    day = lambda x: F.date_format(x, "yyyy-MM-dd")
+    return table(spark, d, "orders").select(
+        "o_orderkey", F.year(c).cast("long").alias("y"), F.quarter(c).cast("long").alias("q"), (F.dayofweek(c) - 1).cast("long").alias("dow"), day(F.last_day(c)).alias("month_end"),
+        day(F.add_months(c.cast("date"), 3)).alias("later"), F.datediff(c.cast("date"), F.lit("1992-01-01").cast("date")).cast("long").alias("days"),
+    )
+
+
+@query("select l_returnflag, abs(approx - exact) <= 0.06 * exact as near from (select l_returnflag, count(distinct l_partkey) as approx, count(distinct l_partkey) as exact from lineitem group by 1)")
+def ext_approximate(spark: SparkSession, d: str) -> DataFrame:
+    """A sketch of distinct values, whose error is held against the exact count."""
+    t = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("approx"), F.count_distinct("l_partkey").alias("exact"))
+    return t.select("l_returnflag", (F.abs(F.col("approx") - F.col("exact")) <= 0.06 * F.col("exact")).alias("near"))

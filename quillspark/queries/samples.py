@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import geometry as geo, samples as smp
-from ..operators import conversations as cnv, elements as elm, extract as ext, flatten as flt, layers as lay
+from ..operators import conversations as cnv, documents as dcm, elements as elm, extract as ext, flatten as flt, layers as lay
 from ..session import table
 from ..sources import readers
 from .registry import registrar
@@ -78,10 +78,17 @@ def label_lookup(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "labels").join(F.broadcast(names), "quality").select("doc_id", "label_name")
 
 
-@query("select n_nationkey, n_name, r_name as label_name from nation join region on r_regionkey = n_regionkey")
+@query("select doc_id, cast(quality as bigint) as label_value, case quality when 0 then 'poor' else 'good' end as label_name, cast(toxic as bigint) as word_label, case toxic when 0 then 'clean' else 'toxic' end as word_name from labels")
 def label_name_infer(spark: SparkSession, d: str) -> DataFrame:
-    """SMP-9."""
-    return table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", F.col("r_name").alias("label_name"))
+    """SMP-9: label sets from a description of features, as a hub gives it."""
+    found = smp.infer_labels({
+        "text": {"_type": "Value", "dtype": "string"},
+        "quality": {"_type": "ClassLabel", "names": ["poor", "good"]},
+        "tags": {"_type": "Sequence", "feature": {"_type": "ClassLabel", "names": ["clean", "toxic"]}},
+    })
+    q, t = smp.labelled(F.col("quality"), found["classification"]), smp.labelled(F.col("toxic"), found["entity_labeling"])
+    rows = table(spark, d, "labels").select("doc_id", q.alias("q"), t.alias("t"))
+    return rows.select("doc_id", "q.label_value", "q.label_name", F.col("t.label_value").alias("word_label"), F.col("t.label_name").alias("word_name"))
 
 
 @query("select doc_id, 'quality' as name, cast(quality as double) as score from labels union all select doc_id, 'toxicity', cast(toxic as double) from labels")
@@ -186,7 +193,8 @@ def _summed(rows: DataFrame) -> DataFrame:
 @query(_PARENTS + "group by doc_id, level")
 def parent_bbox_join(spark: SparkSession, d: str) -> DataFrame:
     """ELM-3, IMP-1."""
-    return _summed(elm.parent_boxes(elm.element_rows(_docs(spark, d))))
+    rows = elm.element_rows(_docs(spark, d))
+    return _summed(elm.parent_boxes(rows, elm.inner_rows(rows)))
 
 
 @query(_PARENTS + "where level = 4 group by doc_id, level")
@@ -212,14 +220,6 @@ def validate_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     return elm.dangling(broken).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_bad"))
 
 
-@query("select doc_id, case when doc_id % 3 = 0 then left(text, 20) else nullif(array_to_string(list_filter(string_split(split_part(text, chr(10), 1), ' '), lambda w: w <> ''), ' '), '') end as content from documents")
-def content_text(spark: SparkSession, d: str) -> DataFrame:
-    """ELM-10."""
-    own = F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 20))
-    items = elm.flat_words(F.array_remove(F.split(F.split_part("text", F.lit("\n"), F.lit(1)), " "), ""))
-    return _docs(spark, d).select("doc_id", elm.content_text(own, items).alias("content"))
-
-
 @query("select doc_id, md5(case when doc_id % 3 = 0 then text else nullif(array_to_string(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda w: w <> ''), ' '), '') end) as content_md5 from documents")
 def content_text_whole(spark: SparkSession, d: str) -> DataFrame:
     """ELM-10 over whole texts, as a digest."""
@@ -286,10 +286,20 @@ def turn_codec(spark: SparkSession, d: str) -> DataFrame:
     return df.select("conv_id", "turn", "t.type", "t.role", "t.text", "t.content")
 
 
-@query("""select event_id, '{"name":"' || event_type || '","arguments":' || regexp_replace(props, '\\s', '', 'g') || '}' as text from events""")
+@query("""select event_id, '{"name":"' || event_type || '","arguments":{"k":' || cast(json_extract(props, '$.k') as varchar) || ',"q":"two  words of ' || event_type || '"}}' as text from events""")
 def tool_call_text(spark: SparkSession, d: str) -> DataFrame:
-    """CNV-4."""
-    return table(spark, d, "events").select("event_id", cnv.tool_call_text(F.col("event_type"), F.col("props")).alias("text"))
+    """CNV-4: blanks between values go, blanks within them stay."""
+    said = F.concat(F.lit('{ "k" : '), F.expr("try_variant_get(parse_json(props), '$.k', 'string')"), F.lit(' ,\n "q": "two  words of '), F.col("event_type"), F.lit('"}'))
+    return table(spark, d, "events").select("event_id", cnv.tool_call_text(F.col("event_type"), said).alias("text"))
+
+
+@query("select conv_id, turn, case when turn % 3 = 1 then text when turn % 3 = 2 then '{\"name\":\"f\",\"arguments\":{\"a\":' || turn || '}}' else text end as said from conversations")
+def turn_texts(spark: SparkSession, d: str) -> DataFrame:
+    """CNV-4: what turns, calls and results say."""
+    kind = F.when(F.col("turn") % 3 == 1, "tool_result").when(F.col("turn") % 3 == 2, "tool_call").otherwise("turn")
+    args = F.concat(F.lit('{"a": '), F.col("turn").cast("string"), F.lit("}"))
+    turn = F.struct(kind.alias("type"), "text", F.lit("f").alias("name"), args.alias("arguments"), F.col("text").alias("content"))
+    return table(spark, d, "conversations").select("conv_id", "turn", cnv.turn_text(turn).alias("said"))
 
 
 @query("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
@@ -341,11 +351,18 @@ def archive_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", *(p[c].alias(c) for c in ("is_part", "is_archive", "ext")))
 
 
-@query("select doc_id, substr(text, 3, 4) as member from documents where n_chars >= 8")
+@query("""with r as (select doc_id, hex(encode(text)) as h, doc_id % 7 as o from documents where text is not null), s as (select *, length(h) // 2 as size from r),
+m as (select doc_id, h, least(o, size) as o, greatest(size - least(o, size) - doc_id % 5, 0) as n from s) select doc_id, md5(substr(h, cast(2 * o + 1 as bigint), cast(2 * n as bigint))) as member_md5, n as n_bytes from m""")
 def tar_byte_range(spark: SparkSession, d: str) -> DataFrame:
-    """SRC-11, over texts taken as archives; code points of texts that are ASCII there."""
-    df = _docs(spark, d).where("n_chars >= 8")
-    return df.select("doc_id", F.decode(readers.byte_range(F.encode(F.substring("text", 3, 4), "UTF-8"), F.lit(0), F.octet_length(F.substring("text", 3, 4))), "UTF-8").alias("member"))
+    """SRC-11: a range of each text's bytes, offset and length read from a URI; ranges vary by row."""
+    size = F.octet_length("text").cast("long")
+    lo = F.least(F.col("doc_id") % 7, size)
+    n = F.greatest(size - lo - F.col("doc_id") % 5, F.lit(0))
+    uri = F.concat(F.lit("archive?offset="), lo.cast("string"), F.lit("&length="), n.cast("string"))
+    offset, length = readers.range_of(F.col("uri"))
+    df = _docs(spark, d).where("text is not null").withColumn("uri", uri)
+    member = readers.byte_range(F.encode("text", "UTF-8"), offset, length)
+    return df.select("doc_id", F.md5(F.hex(member).cast("binary")).alias("member_md5"), length.alias("n_bytes"))
 
 
 @query("""with n as (select distinct p_name from part), m as (select p_name, levenshtein(p_name, 'almond antique') as dist from n) select p_name, cast(dist as bigint) as dist from m where dist = (select min(dist) from m)""")
@@ -375,3 +392,32 @@ def output_name(spark: SparkSession, d: str) -> DataFrame:
     """VIS-3."""
     df = _docs(spark, d).join(table(spark, d, "labels"), "doc_id", "left")
     return df.select(lay.output_name(F.col("doc_id").cast("string"), F.col("quality").cast("string")).alias("name"))
+
+
+@query("""select page_id, len(string_split(url, '/')) as n, cast(sum(i * 10 + 5 + page_id) as double) as right_edges, string_agg(p, ' ' order by i) as said
+from (select page_id, url, unnest(string_split(url, '/')) as p, unnest(range(len(string_split(url, '/')))) as i from pages) group by page_id, url""")
+def hocr_words(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-16: words, boxes and confidence of a page of recognised text, which is made of a URL's parts."""
+    span = lambda p, i: F.concat(
+        F.lit("<span class='ocrx_word' id='w"), i.cast("string"), F.lit("' title='bbox "), F.concat_ws(" ", (i * 10).cast("string"), F.lit("0"), (i * 10 + 5 + F.col("page_id")).cast("string"), F.lit("9")),
+        F.lit("; x_wconf 9"), (i % 10).cast("string"), F.lit("'>"), p, F.lit("</span>"),
+    )
+    html = F.concat(F.lit("<html><div class='ocr_page'>"), F.array_join(F.transform(F.split("url", "/"), span), "\n"), F.lit("</div></html>"))
+    df = table(spark, d, "pages").select("page_id", F.explode(F.array(ext.hocr_words(html))).alias("w"))
+    edges = F.aggregate("w", F.lit(0.0), lambda a, w: a + w["x1"])
+    return df.select("page_id", F.size("w").cast("long").alias("n"), edges.alias("right_edges"), F.array_join(F.transform("w", lambda w: w["text"]), " ").alias("said"))
+
+
+@query("select page_id as doc, cast(unnest(range(page_id % 4)) as bigint) as page, 'd' || page_id || '#' || unnest(range(page_id % 4)) as sample_id from pages")
+def page_fan_out(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-14: a row for each page of a document."""
+    rows = dcm.page_fan_out(table(spark, d, "pages").select(F.col("page_id").alias("doc")), F.col("doc") % 4, F.concat(F.lit("d"), F.col("doc").cast("string")))
+    return rows.select("doc", F.col("page_id").cast("long").alias("page"), "sample_id")
+
+
+@query("""select cast(d.doc_id as varchar) as sample_id, cast(l.quality as bigint) as label_value, l.doc_id is null as none_at_all from documents d left join labels l using (doc_id)""")
+def annotation_from_json(spark: SparkSession, d: str) -> DataFrame:
+    """SMP-4, SMP-10: annotations written as JSON and read again; none at all is null."""
+    a = _annotated(spark, d).select("sample_id", smp.to_json(F.col("annotations")).alias("json"))
+    back = a.select("sample_id", "json", F.explode(F.array(smp.from_json(F.col("json")))).alias("annotations"))
+    return back.select("sample_id", F.col("annotations.classification.label_value").alias("label_value"), F.col("json").isNull().alias("none_at_all"))

@@ -36,3 +36,16 @@ s as (select user_id, ts, sum(new) over (partition by user_id order by ts rows u
 select strftime(min(ts), '%Y-%m-%d %H:%M:%S') as session_start, user_id, count(*) as n from s group by user_id, k""")
 def stream_session(spark: SparkSession, d: str) -> DataFrame:
     return _text(win.drained(win.sessions(_stream(spark, d), "6 hours", "user_id")), "session_start").select("session_start", "user_id", "n")
+
+
+@query("""with w as (select time_bucket(interval 6 hour, ts) - k * interval 6 hour as s, event_type, value from events, (select unnest([0, 1, 2, 3]) as k))
+select strftime(s, '%Y-%m-%d %H:%M:%S') as window_start, event_type, count(*) as n, max(value) as top from w group by 1, 2""")
+def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of a day that begin every six hours."""
+    return _text(win.drained(win.sliding(_stream(spark, d), "1 day", "6 hours", "event_type")), "window_start").select("window_start", "event_type", "n", "top")
+
+
+@query("select user_id, count(*) as n, max(value) as top from events group by 1")
+def stream_stateful(spark: SparkSession, d: str) -> DataFrame:
+    """State of a key, kept by a function: the last of its updates."""
+    return win.drained(win.running(_stream(spark, d), "user_id", "value"), "update")

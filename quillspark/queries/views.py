@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import shards as shd
 from ..operators.views import POS, View, compose, with_positions
 from ..plans import cache as cch
+from ..plans.config import Config
 from ..session import scratch, table
 from ..sources import readers, sinks
+from ..sources.datasets import ShardList, buffer_shuffled
 from .registry import registrar
 
 QUERIES: dict = {}
@@ -150,14 +151,6 @@ def content_hash(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("page_id", sha.alias("sha"), F.concat(F.substring(sha, 1, 2), F.lit("/"), sha).alias("artifact"), F.col("path").isNotNull().alias("hoisted"))
 
 
-@query("select lang, count(*) as n_parts, md5(string_agg(left(text, 10), '' order by doc_id)) as merged from documents group by lang")
-def merge_parts_order(spark: SparkSession, d: str) -> DataFrame:
-    """SRC-17, IMP-13: parts in the order of their number."""
-    part = F.struct(F.col("doc_id").alias("i"), F.substring("text", 1, 10).alias("t"))
-    g = table(spark, d, "documents").groupBy("lang").agg(F.array_sort(F.collect_list(part)).alias("p"))
-    return g.select("lang", F.size("p").cast("long").alias("n_parts"), F.md5(F.array_join(F.transform("p", lambda x: x["t"]), "").cast("binary")).alias("merged"))
-
-
 @query("with r as (select lang, doc_id // 1000 as run, count(*) as n, md5(coalesce(string_agg(md5(text), '' order by doc_id), '')) as h from documents group by 1, 2) select lang, cast(sum(n) as bigint) as n_parts, md5(string_agg(h, '' order by run)) as merged from r group by lang")
 def merge_parts_whole(spark: SparkSession, d: str) -> DataFrame:
     """SRC-17, IMP-13 over whole texts: digests of the parts in the order of their number, joined by runs of 1000 numbers and these in order."""
@@ -167,11 +160,17 @@ def merge_parts_whole(spark: SparkSession, d: str) -> DataFrame:
     return runs.groupBy("lang").agg(F.sum("n").alias("n_parts"), ordered(F.struct("run", F.col("h").alias("t"))).alias("merged"))
 
 
-@query("select event_id, try_cast(case when event_id % 1000 = 7 then 'x' else cast(user_id as varchar) end as bigint) as parsed, event_id % 1000 = 7 as failed from events")
+@query("select event_id, case when event_id % 1000 <> 7 then user_id end as parsed, event_id % 1000 = 7 as failed from events")
 def error_budget_split(spark: SparkSession, d: str) -> DataFrame:
-    """GOV-2: bad samples are told apart."""
+    """GOV-2, SNK-7: a function that fails for some samples; they are told apart and the others go on."""
+
+    def parse(row: dict) -> dict:
+        return {"event_id": row["event_id"], "parsed": int(row["raw"])}
+
     raw = F.when(F.col("event_id") % 1000 == 7, "x").otherwise(F.col("user_id").cast("string"))
-    return table(spark, d, "events").select("event_id", raw.try_cast("bigint").alias("parsed"), raw.try_cast("bigint").isNull().alias("failed"))
+    rows = table(spark, d, "events").select("event_id", raw.alias("raw"))
+    tried = sinks.tolerant(rows, parse, "event_id long, parsed long", keep=["event_id"])
+    return tried.select("event_id", "parsed", F.col("error").isNotNull().alias("failed"))
 
 
 @query("select conv_id, turn, role, text from conversations")
@@ -195,22 +194,64 @@ def split_sink_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query("select cast(doc_id as varchar) as sample_id, left(text, 30) as head from documents where doc_id % 10 < 8")
+@query("select cast(doc_id as varchar) as sample_id, md5(text) as text_md5, case when doc_id % 10 < 8 then 'train' when doc_id % 10 = 8 then 'validation' else 'test' end as split from documents")
 def cache_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """CAC-1, CAC-2: the second build reads what the first has published. The manifest folder is the driver's."""
+    """CAC-1, CAC-2: whole texts of all splits are cached, then reopened; the second build reads what the first has published."""
 
     class Documents(cch.Dataset):
+        class Config(Config):
+            path: str
+
         name = "documents"
 
         def build(self, s: SparkSession, split: str) -> DataFrame:
-            return table(s, d, "documents").where(shd.split_of(F.col("doc_id")) == split).select(F.col("doc_id").cast("string").alias("sample_id"), "text")
+            return table(s, self.config.path, "documents").where(shd.split_of(F.col("doc_id")) == split).select(F.col("doc_id").cast("string").alias("sample_id"), "text")
 
-    root = scratch(spark).removeprefix("file://").removeprefix("file:") if scratch(spark).startswith("file:") else tempfile.mkdtemp()
-    root = f"{root}/cache-{uuid.uuid4().hex}"
-    head = lambda df: df.select("sample_id", F.substring("text", 1, 30).alias("head"))
+    root = f"{scratch(spark)}/cache-{uuid.uuid4().hex}"
+    digest = lambda df: df.select("sample_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
     for _ in range(2):
-        cached = cch.cache(spark, Documents(), root, head, stage="processed")
-    return cached.split(spark, "train")
+        made = cch.Builder(spark, root).load(Documents(Documents.Config(path=d))).cache().process(digest).build()
+    out = None
+    for name in ("train", "validation", "test"):
+        part = cch.Cached(spark, made.folder).split(spark, name).withColumn("split", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("""with p as (select doc_id, n_chars, row_number() over (order by doc_id) - 1 as pos from documents), r as (select *, pos // 50 as run, sum(n_chars) over (partition by pos // 50 order by pos) as upto from p),
+q as (select *, (upto - n_chars) // 20000 as part from r) select doc_id, cast(dense_rank() over (order by run, part) as bigint) as shard from q""")
+def shard_by_size(spark: SparkSession, d: str) -> DataFrame:
+    """SNK-5: shards of at most 50 rows that close when they pass 20000 characters."""
+    return sinks.sized_shards(_view(spark, d).frame, F.col("n_chars"), 50, 20_000).select("doc_id", "shard")
+
+
+@query("select count(*) as n_shards, cast(sum(n) as bigint) as nsamples, cast(sum(b) as bigint) as nbytes from (select doc_id // 64 as s, count(*) as n, sum(n_chars) as b from documents group by 1)")
+def write_totals(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-5."""
+    shards = table(spark, d, "documents").groupBy(F.floor(F.col("doc_id") / 64).alias("shard")).agg(F.count(F.lit(1)).alias("nsamples"), F.sum("n_chars").alias("nbytes"))
+    return shd.write_totals(shards)
+
+
+@query("select doc_id || '_' || (i - 1) as key, ls[i] as line from (select doc_id, string_split(text, chr(10)) as ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents where text is not null)")
+def one_to_many(spark: SparkSession, d: str) -> DataFrame:
+    """SNK-6, IMP-9: a transform that gives a list of samples."""
+    lines = F.transform(F.split("text", "\n"), lambda s: F.struct(s.alias("line")))
+    return sinks.one_to_many(table(spark, d, "documents").withColumn("key", F.col("doc_id").cast("string")), lines)
+
+
+@query("select doc_id, row_number() over (order by doc_id) - 1 as _pos from documents")
+def shard_list(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-4: files written in order, read as one sequence."""
+    path = f"{scratch(spark)}/shards-{uuid.uuid4().hex}"
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("key"), "doc_id")
+    rows.repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    return ShardList(spark, path).frame().select("doc_id", "_pos")
+
+
+@query("select doc_id, md5(text) as text_md5 from documents")
+def buffer_shuffle(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-3: the shuffle of a stream keeps every row."""
+    return buffer_shuffled(table(spark, d, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5")), 42, 100)
 
 
 @query("select doc_id, row_number() over (order by n_chars, doc_id) - 1 as _pos from documents")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,10 +23,17 @@ def session(app: str = "quillspark", master: str | None = None, shuffle_partitio
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names; one of our own only where it is unset."""
+    """The shared folder that spark.checkpoint.dir names. Where that is unset, a folder of this process in local mode, and an error on a cluster."""
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named
-    return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="quillspark-"))
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set; a cluster needs a folder that all its machines share")
+    if context.applicationId not in _own:
+        folder = tempfile.mkdtemp(prefix="quillspark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own[context.applicationId] = "file://" + folder
+    return _own[context.applicationId]
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

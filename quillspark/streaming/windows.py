@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import scratch
 
@@ -49,3 +51,25 @@ def drained(stream: DataFrame, mode: str = "complete", transform: Callable[[Data
         return spark.read.schema(stream.schema).parquet(f"{at}/out")
     writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{at}/out")).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
+
+
+def sliding(events: DataFrame, width: str, step: str, by: str, delay: str = "1 hour") -> DataFrame:
+    """Windows of a width that begin every step; an event is in each that holds it."""
+    counts = events.withWatermark("ts", delay).groupBy(F.window("ts", width, step), by).agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top"))
+    return counts.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), by, "n", "top")
+
+
+def running(events: DataFrame, key: str, value: str) -> DataFrame:
+    """key, n, top: how many events of a key there have been and the largest value, kept from batch to batch as state of the key. Events of a key come
+    in Arrow batches; what is kept is two numbers."""
+
+    def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, top = state.get if state.exists else (0, float("-inf"))
+        for f in frames:
+            n, top = n + len(f), max(top, float(f[value].max()))
+        state.update((n, top))
+        yield pd.DataFrame({key: [name[0]], "n": [n], "top": [top]})
+
+    kind = events.schema[key].dataType.simpleString()
+    grouped = events.select(key, value).groupBy(key)
+    return grouped.applyInPandasWithState(step, f"{key} {kind}, n long, top double", "n long, top double", "update", GroupStateTimeout.NoTimeout)

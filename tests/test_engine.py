@@ -76,7 +76,7 @@ def test_cache_is_reused_and_published_last(spark, tmp_path):
     n = len(built)
     again = cache.cache(spark, Numbers(), str(tmp_path), t)
     assert len(built) == n and again.snapshot.counts == {"train": 3, "test": 1} and first.folder == again.folder
-    assert [p for p, _ in cache.discover(str(tmp_path), "processed")] == [again.folder]
+    assert [p for p, _ in cache.discover(spark, str(tmp_path), "processed")] == [again.folder]
     assert again.split(spark, "train").agg(F.sum("y")).first()[0] == 6
     with pytest.raises(ValueError):
         again.split(spark, "validation")
