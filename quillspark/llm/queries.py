@@ -29,7 +29,8 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontamination.decontaminate(docs, bench, near=decontamination.NEAR).drop("text_hash")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -434,3 +434,48 @@ def test_word_features_depend_on_the_word_alone():
     grad, per_word = np.zeros(weights.shape), rng.normal(size=(len(words), 3))
     together.add_to(grad, per_word)
     assert np.isclose((grad * weights).sum(), (per_word * together.score(weights)).sum(), rtol=1e-4)
+
+
+def test_proximity_matches_brute_force(spark):
+    rng = random.Random(8)
+    vocabulary = [f"t{i}" for i in range(14)]
+    texts = [None, "", *(" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 60))) for _ in range(25))]
+    texts[5] = texts[4]
+    items = [" ".join(rng.choice(vocabulary) for _ in range(n)) for n in (2, 3, 4, 12)] + ["t1 t1 t2", "absent t1"]
+    docs, bench = frame(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    words = [(t or "").split() for t in texts]
+    df = {w: sum(ws.count(w) for ws in words) for w in [*vocabulary, "absent"]}
+    wins = {tuple(i.split()[k : k + 10]) for i in items for k in range(max(1, len(i.split()) - 9))}
+    for near in (1, 3, 8):
+        want = []
+        for ws in words:
+            n = 0
+            for win in wins:
+                few = {w for _, w, _ in sorted((df[w], w, k) for k, w in enumerate(win))[:3]}
+                if min(df[w] for w in win) and any(few <= set(ws[max(0, p - near + 1) : p + 1]) for p in range(len(ws))):
+                    n += 1
+            want.append(n)
+        plain = decontamination.decontaminate(docs, bench).orderBy("doc_id").collect()
+        got = decontamination.decontaminate(docs, bench, near=near).orderBy("doc_id").collect()
+        assert [r.n_near for r in got] == want
+        assert [(r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in got] == [(r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in plain]
+    keyed = decontamination.keyed(docs).dropDuplicates(["dk", "th"])
+    terms = decontamination.phrase_windows(bench)[2]
+    index = decontamination.postings(keyed, terms)
+    asked = terms.where("term in ('t1', 't2', 't3')").select(F.lit(1).alias("qid"), "tid")
+    name = {r.tid: r.term for r in terms.collect()}
+    got = decontamination.proximity_matches(index, asked, 2).join(keyed.select("dk", "th", "doc_id"), ["dk", "th"]).collect()
+    first = min((df[w], t) for t, w in name.items() if w in ("t1", "t2", "t3"))[1]
+    want = set()
+    for i, ws in enumerate(words):
+        for p, w in enumerate(ws):
+            if w == name[first] and all(x in ws[max(0, p - 2) : p + 3] for x in ("t1", "t2", "t3")):
+                want.add((i, p + 1))
+    assert {(r.doc_id, r.pos) for r in got} == want
+
+
+def test_many_windows_are_joined_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
+    docs = frame(spark, ["x q1 q2 q3 q4 q5 q6 q7 q8 q9 q10 y", "q1 q2", None])
+    bench = spark.createDataFrame([(1, "q1 q2 q3 q4 q5 q6 q7 q8 q9 q10")], "item_id int, text string")
+    assert [(r.n_hit, r.n_near) for r in decontamination.decontaminate(docs, bench, near=20).orderBy("doc_id").collect()] == [(10, 1), (0, 0), (0, 0)]
