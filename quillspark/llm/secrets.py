@@ -12,22 +12,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.column import Column
 
-#: The patterns of the base kinds.
+from .common import staged
+
+#: The patterns of the base kinds. Runs of access keys and hexadecimal digits are greedy, so asking for their least length finds the same
+#: matches as dropping shorter ones afterwards: what is left of a run behind its beginning is shorter still.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS, HEX = r"AKIA[A-Z0-9]+", r"[0-9a-f]+"
+ACCESS, HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
 TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 KINDS = ("assign", "access", "hex", "random")
 FDR, GRID, TOP = 0.05, 20, 400
 ALPHABETS = {10: "0123456789", 16: "0123456789abcdef", 32: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 64: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 
 
-def _found(text: Column, pattern: str, group: int, kind: int, guard: str | None = None) -> Column:
+def _found(text: Column, pattern: str, group: int, kind: int) -> Column:
     """Array of (kind, gap: length of the text since the match before, size: of the match, part: its group), in order."""
-    rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part"))
-    own = F.filter(
-        F.transform(rows, lambda r: F.struct(F.lit(kind).alias("kind"), F.length(r["gap"]).alias("gap"), F.length(r["hit"]).alias("size"), r["part"].alias("part"))), lambda r: r.size.isNotNull()
-    )
-    return F.when(text.rlike(guard or pattern), own)
+    taken = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
+    rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), taken(0).alias("hit"), taken(group).alias("part"))
+    one = lambda r: F.struct(F.lit(kind).alias("kind"), F.length(r["gap"]).alias("gap"), F.length(r["hit"]).alias("size"), r["part"].alias("part"))
+    return F.when(text.rlike(pattern), F.filter(F.transform(rows, one), lambda r: r.size.isNotNull()))
 
 
 def _battery(df: DataFrame) -> DataFrame:
@@ -68,18 +70,25 @@ def _battery(df: DataFrame) -> DataFrame:
     return df.withColumn("band", band)
 
 
+def rejected_from(tested: DataFrame, fdr: float) -> DataFrame:
+    """band, rejected: the least cell whose tokens Benjamini-Hochberg tells from random draws, for the bands that have one. Tokens are counted by band
+    and cell, so at most four times TOP + 1 rows are ordered."""
+    cells = tested.groupBy("band", "cell").agg(F.count(F.lit(1)).alias("c"))
+    upto = Window.partitionBy("band").orderBy(F.desc("cell"))
+    cells = cells.withColumns({"rank": F.sum("c").over(upto), "m": F.sum("c").over(Window.partitionBy("band"))})
+    return cells.where(F.pow(F.lit(10.0), -F.col("cell") / GRID) <= fdr * F.col("rank") / F.col("m")).groupBy("band").agg(F.min("cell").alias("rejected"))
+
+
 def scan_secrets(documents: DataFrame, fdr: float = FDR) -> DataFrame:
     """documents (doc_id, text, ...) -> doc_id, n_assign, n_access, n_hex, base_sha256, n_random, spans; one row for each row.
 
     Null and empty texts have no spans: counts 0, the hash of an empty string, spans ''. Repeated rows each count for the error control. An empty
     table gives an empty result; other columns are ignored. Offsets are code points, ends exclusive.
     """
-    from .common import staged
-
     text = F.col("text")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     kinds = "array<struct<kind:int,gap:int,size:int,part:string>>"
-    found = [_found(text, ASSIGN, 2, 0), _found(text, ACCESS, 0, 1), _found(text, HEX, 0, 2, HEX[:-1] + "{24,}"), _found(text, TOKEN, 0, 3, TOKEN)]
+    found = [_found(text, ASSIGN, 2, 0), _found(text, ACCESS, 0, 1), _found(text, HEX, 0, 2), _found(text, TOKEN, 0, 3)]
     # one entry without a kind stands for the document itself, so documents without spans stay and rows are numbered in a single pass
     own = F.array(F.struct(F.lit(None).alias("kind"), F.lit(0).alias("gap"), F.lit(0).alias("size"), F.lit(None).alias("part"))).cast(kinds)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.concat(own, *(F.coalesce(f, F.array().cast(kinds)) for f in found)).alias("found"))
@@ -89,10 +98,7 @@ def scan_secrets(documents: DataFrame, fdr: float = FDR) -> DataFrame:
     spans = rows.withColumn("stop", stop).where(F.col("kind").isNull() | (F.length("part") >= least)).select("row", "doc_id", "kind", (F.col("stop") - F.col("size")).alias("start"), "stop", "part")
     spans = staged(spans, "spans")
     tested = _battery(spans.where("kind = 3")).select("row", "start", "stop", "band", "cell")
-    cells = tested.groupBy("band", "cell").agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.partitionBy("band").orderBy(F.desc("cell"))
-    cells = cells.withColumns({"rank": F.sum("c").over(upto), "m": F.sum("c").over(Window.partitionBy("band"))})
-    limit = cells.where(F.pow(F.lit(10.0), -F.col("cell") / GRID) <= fdr * F.col("rank") / F.col("m")).groupBy("band").agg(F.min("cell").alias("rejected"))
+    limit = rejected_from(tested, fdr)
     kept = tested.join(F.broadcast(limit), "band", "left").where(F.col("rejected").isNull() | (F.col("cell") < F.col("rejected"))).select("row", F.lit(3).alias("kind"), "start", "stop")
     names = F.array(*map(F.lit, KINDS))
     all_spans = spans.where("kind is null or kind < 3").select("row", "doc_id", "kind", "start", "stop").unionByName(kept.select("row", F.lit(None).cast("long").alias("doc_id"), "kind", "start", "stop"))

@@ -479,3 +479,97 @@ def test_many_windows_are_joined_without_broadcast(spark, monkeypatch):
     docs = frame(spark, ["x q1 q2 q3 q4 q5 q6 q7 q8 q9 q10 y", "q1 q2", None])
     bench = spark.createDataFrame([(1, "q1 q2 q3 q4 q5 q6 q7 q8 q9 q10")], "item_id int, text string")
     assert [(r.n_hit, r.n_near) for r in decontamination.decontaminate(docs, bench, near=20).orderBy("doc_id").collect()] == [(10, 1), (0, 0), (0, 0)]
+
+
+def python_battery(token):
+    """The four statistics and the grid cell, in plain Python."""
+    plain = token.rstrip("=")
+    k = 10 if re.fullmatch("[0-9]+", plain) else 16 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", plain) else 32 if re.fullmatch("[A-Z2-7]+", plain) else 64
+    letters = secrets.ALPHABETS[k]
+    code = [letters.index(c.lower() if k == 16 else {"-": "+", "_": "/"}.get(c, c)) for c in plain]
+    n = len(code)
+    square = sum(code.count(c) ** 2 for c in set(code))
+    z1 = (k / n * square - n - (k - 1)) / (2 * (k - 1)) ** 0.5
+    cuts = [0, *{10: (5,), 16: (10,), 32: (26,), 64: (26, 52, 62)}[k], k]
+    chi = sum((sum(a <= c < b for c in code) - n * (b - a) / k) ** 2 / (n * (b - a) / k) for a, b in zip(cuts, cuts[1:]))
+    z2 = (chi - (len(cuts) - 2)) / (2 * (len(cuts) - 2)) ** 0.5
+    runs = 1 + sum((a < k / 2) != (b < k / 2) for a, b in zip(code, code[1:]))
+    z3 = (runs - 1 - (n - 1) / 2) / ((n - 1) / 4) ** 0.5
+    middle = (k - 1) / 2
+    z4 = sum((a - middle) * (b - middle) for a, b in zip(code, code[1:])) / ((k * k - 1) / 12 * (n - 1) ** 0.5)
+    worst = max(z1, 0.8 * z2, abs(z3), abs(z4))
+    log_p = max(0.0, (worst * worst / 2 + np.log(1 + worst)) / np.log(10) - np.log10(4))
+    return (z1, z2, z3, z4), min(secrets.TOP, int(log_p * secrets.GRID)), 0 if n < 28 else 1 if n < 40 else 2 if n < 64 else 3
+
+
+def test_randomness_battery_and_discovery_control_match_python(spark):
+    rng = random.Random(6)
+    alphabets = ["0123456789", "0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcXYZ019+/-_", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    drawn = ["".join(rng.choice(rng.choice(alphabets[-1:])) for _ in range(rng.randrange(20, 90))) + rng.choice(["", "="]) for _ in range(60)]
+    tokens = drawn + ["".join(rng.choice(a) for _ in range(rng.randrange(20, 70))) for a in alphabets[:5] for _ in range(12)] + ["a" * 30, "ab" * 20, "abcdefghijklmnopqrstuvwxyz", "thisisaveryordinarysentencewithoutblanks"]
+    rows = secrets._battery(spark.createDataFrame([(t,) for t in tokens], "part string")).collect()
+    for r in rows:
+        z, cell, band = python_battery(r.part)
+        assert np.allclose([r.z1, r.z2, r.z3, r.z4], z, atol=1e-9) and abs(r.cell - cell) <= (0 if cell == secrets.TOP else 1) and r.band == band, r.part
+    tested = spark.createDataFrame([(r.band, r.cell) for r in rows], "band int, cell int")
+    got = {r.band: r.rejected for r in secrets.rejected_from(tested, 0.05).collect()}
+    for band in range(4):
+        cells = sorted((r.cell for r in rows if r.band == band), reverse=True)
+        # the largest p-value p(i) with p(i) <= q i / m, equal ones counted together
+        ok = [c for c in set(cells) if 10 ** (-c / secrets.GRID) <= 0.05 * sum(x >= c for x in cells) / len(cells)]
+        assert got.get(band) == (min(ok) if ok else None)
+    texts = [" ".join(f"say {t} now" for t in tokens)]
+    spans = secrets.scan_secrets(frame(spark, texts)).first()
+    said = [x.split(":") for x in spans.spans.split(",") if x.startswith("random")]
+    kept = {texts[0][int(a) : int(b)] for _, a, b in said}
+    want = {r.part for r in rows if got.get(r.band) is None or r.cell < got[r.band]}
+    assert spans.n_random == len(said) and kept == want and sum(t in kept for t in drawn) > 50 and "a" * 30 not in kept
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_automaton_matches_edit_distance():
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 9)))
+    terms = sorted({word() for _ in range(40)} - {""})
+    automaton = toxicity.TrieAutomaton(terms)
+    for _ in range(3000):
+        w = word()
+        near = [(edits(w, t), k) for k, t in enumerate(terms)]
+        near = [(e, k) for e, k in near if e == 0 or (e == 1 and len(terms[k]) >= toxicity.TrieAutomaton.FUZZY_FROM)]
+        assert automaton.match(w) == min(near, default=None), w
+
+
+def test_toxicity_without_marks_is_the_prior(spark):
+    texts = ["a plain text", None, ""]
+    for rows in ([], [(0, 0), (1, 0)], [(0, None)]):
+        labels = spark.createDataFrame(rows, "doc_id long, toxic int")
+        got = toxicity.score_toxicity(frame(spark, texts), labels).collect()
+        assert [r.predicted for r in got] == [0, 0, 0] and all(abs(r.score - 0.018) < 0.001 for r in got)
+
+
+def test_context_limits_match_brute_force(spark):
+    rng = random.Random(2)
+    sizes = [0, 0, 5, *(rng.randrange(4000) for _ in range(80))]
+    hist = spark.createDataFrame([(s, sizes.count(s)) for s in set(sizes)], "length long, n_docs long")
+    for span in (7, 1024):
+        limits = token_counts.context_limits(hist, span).persist()
+        wanted = [0, 1, 5, 6, 2048, max(sizes), 10**6]
+        rows = limits.collect() + token_counts.at_limits(limits, wanted).collect()
+        assert sorted(r.context_limit for r in rows) == sorted([*set(sizes), *wanted])
+        for r in rows:
+            c = r.context_limit
+            assert r.docs_at_least == sum(s >= c for s in sizes) and r.tokens_at_least == sum(s for s in sizes if s >= c) and r.n_docs == sizes.count(c)
+            fit = sum(s <= c for s in sizes)
+            assert r.docs_that_fit == fit and r["quantile"] == fit / len(sizes) and r.truncated_total == sum(min(s, c) for s in sizes) and r.total == sum(sizes)
+        for share in (0.01, 0.5, 0.9, 1.0):
+            assert token_counts.quantile(limits, share) == min(c for c in sizes if sum(s <= c for s in sizes) >= share * len(sizes))
+    empty = token_counts.context_limits(hist.limit(0))
+    assert token_counts.at_limits(empty, [5]).count() == 0 and token_counts.quantile(empty, 0.5) is None
