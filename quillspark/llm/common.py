@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,30 +18,48 @@ from pyspark.sql.column import Column
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BATCH_MB, BATCH_KEY = 4, "spark.sql.execution.arrow.maxBytesPerBatch"
 _own_dirs: dict[str, str] = {}
+_written: list[str] = []
 _kept: dict[tuple[str, str], object] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The shared folder the cluster names in spark.checkpoint.dir. Where that is unset, a folder of this process in local mode, an error on a cluster."""
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-    return _own_dirs[app]
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set; a cluster needs a folder that all its machines share")
+    if context.applicationId not in _own_dirs:
+        folder = tempfile.mkdtemp(prefix="quillspark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own_dirs[context.applicationId] = "file://" + folder
+    return _own_dirs[context.applicationId]
 
 
 def staged_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, and a lost executor costs no rerun of what is above."""
+    """Write df to the shared folder and read it back: cuts lineage, and a lost executor costs no rerun of what is above.
+
+    The tables stay, as results are read from them when they are used; `drop_staged` removes them when the results have been written."""
     path = staged_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> int:
+    """Delete what this process has staged so far, once no result that reads it is needed; how many tables there were."""
+    n = len(_written)
+    while _written:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return n
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -114,17 +134,3 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 1 << 20)
             hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + limit, "right")))
             yield batch.slice(lo, hi - lo)
             lo = hi
-
-
-def chunks(rows, size_of, limit: int = 1 << 20):
-    """Cut a list into runs of about `limit` bytes, one row at least."""
-    run, total = [], 0
-    for row in rows:
-        n = size_of(row)
-        if run and total + n > limit:
-            yield run
-            run, total = [], 0
-        run.append(row)
-        total += n
-    if run:
-        yield run

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import chunks
+from .common import lean, slices, staged, thin_batches
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -55,19 +55,15 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()))
-        for part in chunks(rows, lambda r: len(r[2] or ""), 1 << 22):
-            counts = zip(*(text_counts(r[2] or "") for r in part))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.string()), *(pa.array(c, pa.int64()) for c in counts)], names=["doc_id", "host", *COUNTS]
-            )
+    for batch in slices(batches, 2, 1 << 21):
+        counts = zip(*(text_counts(t or "") for t in batch.column(2).to_pylist()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in counts)], names=["doc_id", "host", *COUNTS])
 
 
 def rule_counts(documents: DataFrame, host: str = "source") -> DataFrame:
     """doc_id, host, the five counts, base_failed and n_failed (failed rules, base included) of each document."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"))
-    counted = docs.mapInArrow(_count, "doc_id long, host string, " + ", ".join(f"{c} long" for c in COUNTS))
+    docs = thin_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"))
+    counted = docs.mapInArrow(lean("quality", _count), "doc_id long, host string, " + ", ".join(f"{c} long" for c in COUNTS))
     base = "(n_words < 50 or 100 * n_repeat_words > 50 * n_words)".replace("< 50", f"< {MIN_WORDS}").replace("> 50 *", f"> {MAX_REPEAT_PERCENT} *")
     rules = [base, "10 * n_symbols > n_words", "word_chars < 2 * n_words or word_chars > 15 * n_words", "20 * n_dup_lines > n_words", "100 * n_repeat_words > 20 * n_words"]
     return counted.withColumns({"base_failed": F.expr(base), "n_failed": F.expr(" + ".join(f"cast({r} as int)" for r in rules))})
@@ -90,8 +86,6 @@ def quality_rules(documents: DataFrame, host: str = "source") -> DataFrame:
     Null and empty texts have counts of 0 and fail the base. Null hosts are one host. Other columns are ignored; repeated rows count each.
     The counts are written once to the shared folder, as hosts and documents both read them.
     """
-    from .common import staged
-
     counted = staged(rule_counts(documents, host), "counts")
     verdicts = host_verdicts(counted)
     joined = counted.alias("d").join(verdicts.alias("h"), F.col("d.host").eqNullSafe(F.col("h.host")), "left")

@@ -573,3 +573,14 @@ def test_context_limits_match_brute_force(spark):
             assert token_counts.quantile(limits, share) == min(c for c in sizes if sum(s <= c for s in sizes) >= share * len(sizes))
     empty = token_counts.context_limits(hist.limit(0))
     assert token_counts.at_limits(empty, [5]).count() == 0 and token_counts.quantile(empty, 0.5) is None
+
+
+def test_staged_tables_can_be_dropped(spark):
+    from pathlib import Path
+
+    out = quality.quality_rules(frame(spark, ["some words here"]))
+    assert out.count() == 1
+    from quillspark.llm import common
+
+    paths = [Path(p.removeprefix("file://")) for p in common._written]
+    assert paths and all(p.exists() for p in paths) and common.drop_staged(spark) == len(paths) and not any(p.exists() for p in paths)
