@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 
 from .common import kept
 
-CACHE = 1_200_000
+CACHE = 600_000
 #: Signs that the tokenizer cuts off behind a letter or digit, apostrophes (parts of contractions) and angle brackets (of special tokens) left out.
 TAIL = b".,!?;:#*$%&"
 

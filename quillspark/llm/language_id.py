@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import lean, slices, thin_batches
 
 SAMPLE_DOCS, SPAN, LEXICON, BITS, CACHE, GROUP = 400, 60, 1000, 16, 250_000, 4096
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 FOLDS, HELD = 4, 2
 UND = "und"
 
