@@ -21,37 +21,39 @@ def flat_words(words: Column, boxes: Column | None = None, segmentations: Column
     return F.transform(zipped, lambda e, i: F.struct(i.alias("id"), F.lit(-1).alias("parent_id"), F.lit(LEVELS["word"]).alias("level"), e["text"].alias("text"), *(e[k].alias(k) for k in extra)))
 
 
-def line_words(text: Column) -> Column:
-    """Array of (line, place in the line, word), blanks dropped."""
-    words = lambda s: F.array_remove(F.split(s, " "), "")
-    return F.flatten(F.transform(F.split(text, "\n"), lambda s, l: F.transform(words(s), lambda w, k: F.struct(l.alias("line"), k.alias("k"), w.alias("word")))))
-
-
-def element_items(text: Column) -> Column:
-    """Elements of a text as one array: page 0, then a line per text line, then the words. Word k of line l has the box (k, l, k+1, l+1)."""
-
-    def one(id_: Column, parent: Column, level: str, box: tuple[Column, ...], own: Column) -> Column:
-        fixed = (id_.cast("int").alias("id"), parent.cast("int").alias("parent_id"), F.lit(LEVELS[level]).alias("level"))
-        return F.struct(*fixed, *(c.cast("double").alias(n) for c, n in zip(box, BOX)), own.alias("text"))
-
-    def tree(parts: Column) -> Column:
-        lines, words = parts["lines"], parts["words"]
-        wide = lambda s: F.size(F.array_remove(F.split(s, " "), ""))
-        zero, none = F.lit(0), F.lit("")
-        longest = F.array_max(F.transform(lines, wide))
-        page = F.array(one(zero, F.lit(-1), "page", (zero, zero, longest, F.size(lines)), none))
-        rows = F.transform(lines, lambda s, i: one(i + 1, zero, "line", (zero, i, wide(s), i + 1), none))
-        leaves = F.transform(words, lambda e, i: one(F.size(lines) + 1 + i, e["line"] + 1, "word", (e["k"], e["line"], e["k"] + 1, e["line"] + 1), e["word"]))
-        return F.concat(page, rows, leaves)
-
-    parts = F.struct(F.split(text, "\n").alias("lines"), line_words(text).alias("words"))
-    return F.get(F.transform(F.array(parts), tree), F.lit(0))
-
-
-def element_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, id, parent_id, level, x0, y0, x1, y1, text: a row for each element, made in one pass over the texts. Null texts have none."""
-    base = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.explode(element_items(F.col(text))).alias("e"))
-    return base.select("doc_id", "e.*")
+def _line_entries(lines: Column) -> Column:
+    return F.transform(lines, lambda s, l: F.struct(F.lit(LEVELS["line"]).alias("level"), l.alias("line"), F.size(F.array_remove(F.split(s, " "), "")).alias("k"), F.lit("").alias("word")))
+
+
+def _word_entries(lines: Column) -> Column:
+    entry = lambda w, k, l: F.struct(F.lit(LEVELS["word"]).alias("level"), l.alias("line"), k.alias("k"), w.alias("word"))
+    return F.flatten(F.transform(lines, lambda s, l: F.transform(F.array_remove(F.split(s, " "), ""), lambda w, k: entry(w, k, l))))
+
+
+def element_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: bool = True) -> DataFrame:
+    """doc_id, id, parent_id, level, x0, y0, x1, y1, text: page 0, then a row per text line, then (with words) the words, made in one pass over the texts.
+    Word k of line l has the box (k, l, k+1, l+1). Null texts have none.
+
+    An element's place in one array is its id; what follows from its level, line and place in the line is worked out behind the explode, in compiled code."""
+    lines = F.split("t", "\n")
+    widest = lambda entries: F.array_max(F.transform(entries, lambda e: e["k"]))
+    page = lambda entries: F.array(F.struct(F.lit(LEVELS["page"]).alias("level"), (F.size(entries) - 1).alias("line"), widest(entries).alias("k"), F.lit("").alias("word")))
+    inner = F.get(F.transform(F.array(_line_entries(lines)), lambda entries: F.concat(page(entries), entries)), F.lit(0))
+    base = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
+    rows = base.select("doc_id", F.posexplode(F.concat(inner, _word_entries(lines)) if words else inner).alias("id", "e"))
+    level, line, k = F.col("e.level"), F.col("e.line"), F.col("e.k")
+    is_word, is_page = level == LEVELS["word"], level == LEVELS["page"]
+    return rows.select(
+        "doc_id",
+        "id",
+        F.when(is_word, line + 1).when(is_page, -1).otherwise(0).alias("parent_id"),
+        level.alias("level"),
+        F.when(is_word, k).otherwise(0).cast("double").alias("x0"),
+        F.when(is_page, 0).otherwise(line).cast("double").alias("y0"),
+        F.when(is_word, k + 1).otherwise(k).cast("double").alias("x1"),
+        (line + 1).cast("double").alias("y1"),
+        F.col("e.word").alias("text"),
+    )
 
 
 def at(items: Column, level: str) -> Column:
@@ -67,11 +69,6 @@ def parent_boxes(rows: DataFrame, parents: DataFrame | None = None) -> DataFrame
     return joined.select(*rows.columns, *(F.coalesce(f"_{c}", c).alias(f"p{c}") for c in BOX))
 
 
-def inner_rows(rows: DataFrame) -> DataFrame:
-    """Rows that may be parents in a tree whose leaves are words."""
-    return rows.where(F.col("level").isNull() | (F.col("level") < LEVELS["word"]))
-
-
 def parent_boxes_hof(items: Column) -> Column:
     """The same within an array of structs (id, parent_id, bbox). Where ids are places in the array a parent is one step away; an id elsewhere is looked
     for, which is linear for each such element."""
@@ -82,9 +79,9 @@ def parent_boxes_hof(items: Column) -> Column:
     return F.transform(items, lambda e: F.coalesce(own(e), e["bbox"]))
 
 
-def segment_boxes(rows: DataFrame, level: str = "line") -> DataFrame:
+def segment_boxes(rows: DataFrame, level: str = "line", parents: DataFrame | None = None) -> DataFrame:
     """Parent boxes of one level's elements; others are not joined."""
-    return parent_boxes(rows.where(F.col("level") == LEVELS[level]), inner_rows(rows))
+    return parent_boxes(rows.where(F.col("level") == LEVELS[level]), rows if parents is None else parents)
 
 
 def dangling(rows: DataFrame) -> DataFrame:

@@ -193,14 +193,14 @@ def _summed(rows: DataFrame) -> DataFrame:
 @query(_PARENTS + "group by doc_id, level")
 def parent_bbox_join(spark: SparkSession, d: str) -> DataFrame:
     """ELM-3, IMP-1."""
-    rows = elm.element_rows(_docs(spark, d))
-    return _summed(elm.parent_boxes(rows, elm.inner_rows(rows)))
+    return _summed(elm.parent_boxes(elm.element_rows(_docs(spark, d)), elm.element_rows(_docs(spark, d), words=False)))
 
 
 @query(_PARENTS + "where level = 4 group by doc_id, level")
 def segment_bboxes(spark: SparkSession, d: str) -> DataFrame:
     """ELM-4."""
-    return _summed(elm.segment_boxes(elm.element_rows(_docs(spark, d))))
+    inner = elm.element_rows(_docs(spark, d), words=False)
+    return _summed(elm.segment_boxes(inner, "line", inner))
 
 
 @query("select conv_id, cast(count(*) as bigint) as n, sum(cast(case when turn = 0 then turn else 0 end as double)) as x0 from conversations group by conv_id")
