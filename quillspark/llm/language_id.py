@@ -210,7 +210,9 @@ def fit_crf(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Crf:
     roll = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1_000_000)) / 1_000_000
     start = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1000)) / 1000
     room = F.greatest(F.length("text") - 20 * SPAN, F.lit(0))
-    rows = own.where(F.element_at(share, F.col("lang")) > roll).select("lang", "doc_id", F.substring(F.col("text"), (1 + start * room).cast("int"), F.lit(20 * SPAN)).alias("text")).limit(2 * sample_docs * len(counts)).collect()
+    part = F.substring(F.col("text"), (1 + start * room).cast("int"), F.lit(20 * SPAN))
+    chosen = own.where(F.element_at(share, F.col("lang")) > roll).select("lang", "doc_id", part.alias("text"))
+    rows = chosen.limit(2 * sample_docs * len(counts)).collect()
     labels = sorted(counts)
     spans = sorted((r["doc_id"] is None, r["doc_id"] or 0, words_of(r["text"])[:SPAN], labels.index(r["lang"])) for r in rows)
     spans = [(w, y) for _, _, w, y in spans if w]

@@ -422,7 +422,8 @@ def ngram_jaccard_components(documents: DataFrame, percent: int = PERCENT) -> Da
     lowest = owned.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     found = owned.join(lowest, "root").select("h1", "h2", "cls", "component_id", "class_rows", "root")
     cols = [
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("cls").alias("class_id"), "class_rows", F.col("root").alias("component"), F.col("th").alias("text_hash"),
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("cls").alias("class_id"), "class_rows",
+        F.col("root").alias("component"), F.col("th").alias("text_hash"),
     ]
     none = {"component_id": F.lit(None).cast("long"), "cls": F.lit(None).cast("long"), "class_rows": F.lit(1).cast("long"), "root": F.lit(None).cast("long")}
     full = rows.where("h1 is not null").join(found, ["h1", "h2"])

@@ -98,7 +98,9 @@ def _put_back(v: Column, bare: Column) -> Column:
 
 def _luhn(digits: Column) -> Column:
     """Luhn sum of a string of digits whose last one is the check digit."""
-    return F.aggregate(F.reverse(F.split(digits, "")), F.struct(F.lit(0).alias("s"), F.lit(0).alias("i")), lambda a, c: F.struct((a.s + F.when(a.i % 2 == 0, c.cast("int")).otherwise(c.cast("int") * 2 - F.when(c.cast("int") > 4, 9).otherwise(0))).alias("s"), (a.i + 1).alias("i")), lambda a: a.s)
+    twice = lambda d: d * 2 - F.when(d > 4, 9).otherwise(0)
+    step = lambda a, c: F.struct((a.s + F.when(a.i % 2 == 0, c.cast("int")).otherwise(twice(c.cast("int")))).alias("s"), (a.i + 1).alias("i"))
+    return F.aggregate(F.reverse(F.split(digits, "")), F.struct(F.lit(0).alias("s"), F.lit(0).alias("i")), step, lambda a: a.s)
 
 
 def _mod97(value: Column) -> Column:
@@ -208,20 +210,26 @@ def _merged(pieces: Column) -> Column:
     """Neighbouring pieces without a kind made one."""
     begin = F.struct(F.array().cast(PIECES).alias("done"), F.lit("").alias("open"))
     both = lambda acc: F.concat(acc.done, F.when(acc.open == "", F.array().cast(PIECES)).otherwise(F.array(_piece(acc.open))))
-    step = lambda acc, p: F.when(p.k == "", F.struct(acc.done.alias("done"), F.concat(acc.open, p.v).alias("open"))).otherwise(F.struct(F.concat(both(acc), F.array(p)).alias("done"), F.lit("").alias("open")))
+    longer = lambda acc, p: F.struct(acc.done.alias("done"), F.concat(acc.open, p.v).alias("open"))
+    closed = lambda acc, p: F.struct(F.concat(both(acc), F.array(p)).alias("done"), F.lit("").alias("open"))
+    step = lambda acc, p: F.when(p.k == "", longer(acc, p)).otherwise(closed(acc, p))
     return F.aggregate(pieces, begin, step, both)
 
 
 def _in_run(run: Column, kind: str, group: str, most: int, valid) -> Column:
     """Pieces of a run of groups: from each group on, the longest valid value of up to `most` groups; else the next group is tried."""
     own = lambda groups, i, n: F.regexp_replace(F.array_join(F.slice(groups, i + 1, n), ""), "^[ -]", "")
-    longest = lambda groups, i: F.get(F.filter(F.transform(F.reverse(F.sequence(F.lit(1), F.least(F.lit(most), F.size(groups) - i))), lambda n: F.struct(own(groups, i, n).alias("v"), n.alias("n"))), lambda c: valid(c.v, run)), F.lit(0))
+    counts = lambda groups, i: F.reverse(F.sequence(F.lit(1), F.least(F.lit(most), F.size(groups) - i)))
+    tried = lambda groups, i: F.transform(counts(groups, i), lambda n: F.struct(own(groups, i, n).alias("v"), n.alias("n")))
+    longest = lambda groups, i: F.get(F.filter(tried(groups, i), lambda c: valid(c.v, run)), F.lit(0))
     lead = lambda g: F.regexp_extract(g, "^[ -]?", 0)
     begin = F.struct(F.array().cast(PIECES).alias("done"), F.lit(0).alias("skip"))
 
     def step(acc: Column, c: Column) -> Column:
         hit = F.struct(F.concat(acc.done, F.array(_piece(lead(c.g)), _piece(c.best.v, kind))).alias("done"), (c.best.n - 1).alias("skip"))
-        return F.when(acc.skip > 0, F.struct(acc.done.alias("done"), (acc.skip - 1).alias("skip"))).when(c.best.isNotNull(), hit).otherwise(F.struct(F.concat(acc.done, F.array(_piece(c.g))).alias("done"), F.lit(0).alias("skip")))
+        passed = F.struct(acc.done.alias("done"), (acc.skip - 1).alias("skip"))
+        plain = F.struct(F.concat(acc.done, F.array(_piece(c.g))).alias("done"), F.lit(0).alias("skip"))
+        return F.when(acc.skip > 0, passed).when(c.best.isNotNull(), hit).otherwise(plain)
 
     found = _bound(F.regexp_extract_all(run, F.lit(group), F.lit(0)), lambda groups: F.transform(groups, lambda g, i: F.struct(g.alias("g"), longest(groups, i).alias("best"))))
     return F.aggregate(found, begin, step, lambda acc: acc.done)

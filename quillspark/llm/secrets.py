@@ -101,7 +101,8 @@ def scan_secrets(documents: DataFrame, fdr: float = FDR) -> DataFrame:
     limit = rejected_from(tested, fdr)
     kept = tested.join(F.broadcast(limit), "band", "left").where(F.col("rejected").isNull() | (F.col("cell") < F.col("rejected"))).select("row", F.lit(3).alias("kind"), "start", "stop")
     names = F.array(*map(F.lit, KINDS))
-    all_spans = spans.where("kind is null or kind < 3").select("row", "doc_id", "kind", "start", "stop").unionByName(kept.select("row", F.lit(None).cast("long").alias("doc_id"), "kind", "start", "stop"))
+    base = spans.where("kind is null or kind < 3").select("row", "doc_id", "kind", "start", "stop")
+    all_spans = base.unionByName(kept.select("row", F.lit(None).cast("long").alias("doc_id"), "kind", "start", "stop"))
     one = F.struct("start", "kind", F.concat_ws(":", F.get(names, F.col("kind")), "start", "stop").alias("said"))
     per = all_spans.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),

@@ -189,7 +189,8 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = {w for w in _WORD.findall(text.lower()) if len(w) >= 3}
             counts[toxic].update(words | {f"{w[:k]}*" for w in words for k in STEMS if len(w) > k})
         words = list(counts[0] | counts[1])
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([counts[1][w] for w in words], pa.int64()), pa.array([counts[0][w] for w in words], pa.int64())], names=["word", "bad", "good"])
+        bad, good = (pa.array([counts[k][w] for w in words], pa.int64()) for k in (1, 0))
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), bad, good], names=["word", "bad", "good"])
 
 
 def held_out():
@@ -242,7 +243,8 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, model: Model | None
 
     def finish(ids, held, x):
         s = model.score(x)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        cols = [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(s), pa.array((s >= 0.5).astype(np.int32))]
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "score", "predicted"])
 
     scored = docs.select("doc_id", held_out().alias("held_out"), "text")
     return scored.mapInArrow(lean("toxicity", _featured(model, finish)), "doc_id long, held_out boolean, score double, predicted int")

@@ -96,7 +96,11 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, broadcast_rows
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = thin_batches(pages).select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.octet_length(html).cast("long").alias("size"), base32_digest(html).alias("digest"), html.alias("html")
+        F.col("page_id").cast("long").alias("page_id"),
+        F.col("url").cast("string").alias("url"),
+        F.octet_length(html).cast("long").alias("size"),
+        base32_digest(html).alias("digest"),
+        html.alias("html"),
     )
     known = rows.where("page_id is not null").where(F.col("size") >= least_bytes)
     # partial sums first, so a payload that a third of all pages share is one row of each task; its size stays in the key, as in the digest's stead
