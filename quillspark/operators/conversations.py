@@ -35,7 +35,10 @@ def decoded(json: Column) -> Column:
 def tool_call_text(name: Column, arguments: Column) -> Column:
     """JSON of a call's name and arguments. Arguments are JSON text; they are parsed and written anew, so that white space between values goes and that
     within them stays. What is no JSON is an error."""
-    return F.concat(F.lit('{"name":'), F.to_json(F.parse_json(F.to_json(F.array(name)))).substr(F.lit(2), F.length(F.to_json(F.array(name))) - 2), F.lit(',"arguments":'), F.to_json(F.parse_json(arguments)), F.lit("}"))
+    # a text as JSON is what stands between the brackets of an array of it
+    listed = F.to_json(F.array(name))
+    said = listed.substr(F.lit(2), F.length(listed) - 2)
+    return F.concat(F.lit('{"name":'), said, F.lit(',"arguments":'), F.to_json(F.parse_json(arguments)), F.lit("}"))
 
 
 def turn_text(turn: Column) -> Column:

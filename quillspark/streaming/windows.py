@@ -29,11 +29,13 @@ def _is_dir(spark: SparkSession, path: str) -> bool:
 
 
 def tumbling(events: DataFrame, width: str, by: str, delay: str = "1 hour") -> DataFrame:
-    return events.withWatermark("ts", delay).groupBy(F.window("ts", width), by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), by, "n", "total")
+    counts = events.withWatermark("ts", delay).groupBy(F.window("ts", width), by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return counts.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), by, "n", "total")
 
 
 def sessions(events: DataFrame, gap: str, by: str, delay: str = "1 hour") -> DataFrame:
-    return events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), by, "n")
+    counts = events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), by).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), by, "n")
 
 
 def deduplicated(events: DataFrame, keys: list[str], delay: str = "1 hour") -> DataFrame:
