@@ -4,6 +4,9 @@ Each document gets counts and rule failures; failures are summed per host (docum
 pre-aggregated); the hosts' failure rates are shrunk towards a beta prior fitted to all hosts by moments; a host whose shrunk rate is high is
 judged strictly: its documents go at the first failed rule, those of other hosts only when they fail several. Documents that fail no rule
 are kept whatever their host.
+
+Verdicts go back to documents in two ways: hosts with more than 1 / HOT_HOSTS of all documents, fewer than HOT_HOSTS by that bound, are broadcast, so
+that no task gathers a large host's documents; documents of all other hosts meet their verdicts by a shuffle.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 STRICT_RATE, STRICT_FAILS, LENIENT_FAILS = 0.5, 1, 2
 PRIOR_LEAST, PRIOR_MOST = 2.0, 1000.0
+HOT_HOSTS = 1000
 
 _DROP = str.maketrans("", "", " \t\n\x0b\x0c\r")
 
@@ -80,17 +84,27 @@ def host_verdicts(counted: DataFrame, strict_rate: float = STRICT_RATE) -> DataF
     return shrunk.select("host", "host_docs", "host_fails", "host_rate", (F.col("host_rate") > strict_rate).alias("host_strict"))
 
 
+def with_verdicts(counted: DataFrame, verdicts: DataFrame, hot_hosts: int = HOT_HOSTS) -> DataFrame:
+    """counted (host, ...) and verdicts, a row for each of its hosts -> counted with host_rate and host_strict; null hosts are one host."""
+    total = verdicts.agg(F.sum("host_docs")).first()[0] or 0
+    is_hot, same = F.col("host_docs") * hot_hosts > total, F.col("host").eqNullSafe(F.col("of_host"))
+    known = verdicts.withColumnRenamed("host", "of_host")
+    hot, others = F.broadcast(known.where(is_hot)), known.where(~is_hot)
+    cols = [*counted.columns, "host_rate", "host_strict"]
+    rest = counted.join(hot.select("of_host"), same, "left_anti").join(others, same)
+    return counted.join(hot, same).select(*cols).unionByName(rest.select(*cols))
+
+
 def quality_rules(documents: DataFrame, host: str = "source") -> DataFrame:
     """documents (doc_id, text, host column, ...) -> doc_id, the five counts, base_failed, kept, n_failed, host_rate; one row for each row.
 
-    Null and empty texts have counts of 0 and fail the base. Null hosts are one host. Other columns are ignored; repeated rows count each.
-    The counts are written once to the shared folder, as hosts and documents both read them.
+    Null and empty texts have counts of 0 and fail the base. Null hosts are one host. Other columns are ignored; repeated rows count each; an empty
+    table gives an empty result. Counts and verdicts are written once to the shared folder, as both are read twice.
     """
     counted = staged(rule_counts(documents, host), "counts")
-    verdicts = host_verdicts(counted)
-    joined = counted.alias("d").join(verdicts.alias("h"), F.col("d.host").eqNullSafe(F.col("h.host")), "left")
-    enough = F.when(F.col("h.host_strict"), STRICT_FAILS).otherwise(LENIENT_FAILS)
-    return joined.select("d.doc_id", *(f"d.{c}" for c in COUNTS), "d.base_failed", (~F.col("d.base_failed") & (F.col("d.n_failed") < enough)).alias("kept"), "d.n_failed", "h.host_rate")
+    judged = with_verdicts(counted, staged(host_verdicts(counted), "hosts"))
+    enough = F.when(F.col("host_strict"), STRICT_FAILS).otherwise(LENIENT_FAILS)
+    return judged.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & (F.col("n_failed") < enough)).alias("kept"), "n_failed", "host_rate")
 
 
 _WORD = r"[^\x20\x09-\x0D]+"

@@ -253,6 +253,19 @@ def test_empty_tables(spark):
         assert out.count() == 0
 
 
+def test_verdicts_of_large_and_small_hosts(spark):
+    rng = random.Random(5)
+    hosts = ["big"] * 200 + [None] * 60 + [f"h{i % 30}" for i in range(140)]
+    docs = [(i, h, rng.randrange(4)) for i, h in enumerate(hosts)]
+    counted = spark.createDataFrame(docs, "doc_id long, host string, n_failed int")
+    verdicts = quality.host_verdicts(counted)
+    want = {r.host: (r.host_rate, r.host_strict) for r in verdicts.collect()}
+    # no host, only the two largest, and every host broadcast
+    for hot_hosts in (0, 10, 10**6):
+        got = {r.doc_id: (r.host_rate, r.host_strict) for r in quality.with_verdicts(counted, verdicts, hot_hosts).collect()}
+        assert got == {i: want[h] for i, h, _ in docs}
+
+
 def test_quality_edges(spark):
     got = {r.doc_id: r for r in quality.quality_rules(frame(spark, EDGE)).collect()}
     assert got[0].n_words == 0 and got[0].base_failed and not got[0].kept and got[5].n_repeat_words == 30_000 and len(got) == len(EDGE)
