@@ -55,15 +55,19 @@ class View:
         return View(with_positions(kept.withColumnRenamed(POS, "_was"), "_was").drop("_was"))
 
     def slice(self, start: int | None = None, stop: int | None = None, step: int = 1) -> View:
-        size = len(self) if (start or 0) < 0 or (stop or 0) < 0 or step < 0 else None
-        lo, hi = (start or 0, stop) if size is None else slice(start, stop).indices(size)[:2]
-        if step < 1:
-            raise ValueError("steps are positive")
-        rows = self.base.where(F.col(POS) >= lo)
+        """What a list's slice holds, numbered anew: bounds below 0 count from the end, a step below 0 goes backwards. Rows are counted only for these."""
+        if step == 0:
+            raise ValueError("a step is not zero")
+        if step < 0 or (start or 0) < 0 or (stop or 0) < 0:
+            lo, hi, _ = slice(start, stop, step).indices(len(self))
+        else:
+            lo, hi = start or 0, stop
+        gone = (F.col(POS) - lo) if step > 0 else (F.lit(lo) - F.col(POS))
+        rows = self.base.where(F.col(POS) >= lo if step > 0 else F.col(POS) <= lo)
         if hi is not None:
-            rows = rows.where(F.col(POS) < hi)
-        rows = rows.where((F.col(POS) - lo) % step == 0) if step > 1 else rows
-        return View(rows.withColumn(POS, F.floor((F.col(POS) - lo) / step).cast("long")), self.transforms)
+            rows = rows.where(F.col(POS) < hi if step > 0 else F.col(POS) > hi)
+        rows = rows.where(gone % abs(step) == 0) if abs(step) > 1 else rows
+        return View(rows.withColumn(POS, F.floor(gone / abs(step)).cast("long")), self.transforms)
 
     def take(self, indices: list[int]) -> DataFrame:
         """Rows at the given positions, in their order; negative ones count from the end, those outside are an IndexError."""
@@ -77,7 +81,7 @@ class View:
 
     def __getitem__(self, index: int | slice) -> DataFrame:
         if isinstance(index, slice):
-            return self.slice(index.start, index.stop, index.step or 1).frame
+            return self.slice(index.start, index.stop, 1 if index.step is None else index.step).frame
         size = len(self)
         if not -size <= index < size:
             raise IndexError(index)

@@ -39,6 +39,16 @@ def view_slice(spark: SparkSession, d: str) -> DataFrame:
     return _view(spark, d)[10:100:3]
 
 
+@query(f"""
+select doc_id, lang, n_chars, cast((n - 2 - _pos) // 3 as bigint) as _pos
+from {_V}, (select count(*) as n from documents)
+where _pos <= n - 2 and (n - 2 - _pos) % 3 = 0
+""")
+def view_reverse_slice(spark: SparkSession, d: str) -> DataFrame:
+    """VIEW-5, backwards from the last row but one."""
+    return _view(spark, d)[-2::-3]
+
+
 @query(f"select * from {_V} where _pos = (select count(*) - 2 from documents)")
 def view_negative_index(spark: SparkSession, d: str) -> DataFrame:
     """VIEW-5."""

@@ -61,6 +61,20 @@ def test_view(spark):
     assert v.with_transform(twice).filter("y > 36").frame.orderBy("_pos").select("id", "_pos").collect() == [(18, 0), (19, 1)]
 
 
+@pytest.mark.parametrize(
+    "bounds",
+    [(None, None, -1), (-2, None, -3), (15, 3, -4), (3, 15, -1), (100, None, -7), (None, -100, -1), (-5, -1, None), (4, -4, 5), (18, 2, 1), (None, 100, 6)],
+)
+def test_slices_are_those_of_a_list(spark, bounds):
+    rows = View.of(spark.range(20), "id")[slice(*bounds)].orderBy("_pos").collect()
+    assert [r.id for r in rows] == list(range(20))[slice(*bounds)] and [r._pos for r in rows] == list(range(len(rows)))
+
+
+def test_a_slice_has_a_step(spark):
+    with pytest.raises(ValueError):
+        View.of(spark.range(3), "id")[::0]
+
+
 def test_cache_is_reused_and_published_last(spark, tmp_path):
     built = []
 
