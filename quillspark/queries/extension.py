@@ -14,7 +14,10 @@ SQL: dict[str, str] = {}
 query = registrar(QUERIES, SQL)
 
 
-@query("select l_returnflag, l_linestatus, cast(sum(l_quantity) as double) as sum_qty, cast(max(l_extendedprice) as double) as max_price, count(*) as n from lineitem where l_shipdate <= timestamp '1998-09-02' group by 1, 2")
+@query("""
+select l_returnflag, l_linestatus, cast(sum(l_quantity) as double) as sum_qty, cast(max(l_extendedprice) as double) as max_price,
+count(*) as n from lineitem where l_shipdate <= timestamp '1998-09-02' group by 1, 2
+""")
 def ext_pricing_summary(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "lineitem").where("l_shipdate <= timestamp_ntz'1998-09-02 00:00:00'")
     return t.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.max("l_extendedprice").alias("max_price"), F.count(F.lit(1)).alias("n"))
@@ -31,7 +34,10 @@ def ext_semi_join(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey")
 
 
-@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'F' and o_orderpriority = '1-URGENT')")
+@query("""
+select c_custkey from customer where not exists (select 1 from orders
+where o_custkey = c_custkey and o_orderstatus = 'F' and o_orderpriority = '1-URGENT')
+""")
 def ext_anti_join(spark: SparkSession, d: str) -> DataFrame:
     """Customers without an urgent order that is finished."""
     urgent = table(spark, d, "orders").where("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
@@ -44,7 +50,11 @@ def ext_left_join(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey").join(n, "p_partkey", "left").select("p_partkey", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("select coalesce(c.k, s.k) as nation, coalesce(c.n, 0) as customers, coalesce(s.n, 0) as suppliers from (select c_nationkey as k, count(*) as n from customer group by 1) c full join (select s_nationkey as k, count(*) as n from supplier group by 1) s on c.k = s.k")
+@query("""
+select coalesce(c.k, s.k) as nation, coalesce(c.n, 0) as customers, coalesce(s.n, 0) as suppliers from (select c_nationkey as k,
+count(*) as n from customer group by 1) c full join (select s_nationkey as k, count(*) as n from supplier
+group by 1) s on c.k = s.k
+""")
 def ext_full_join(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("customers"))
     s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("suppliers"))
@@ -81,13 +91,20 @@ def ext_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
     return t.groupingSets([[t.o_orderstatus], [t.o_orderpriority], []], t.o_orderstatus, t.o_orderpriority).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select o_orderkey, rank() over w as r, dense_rank() over w as dr, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as rn, lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as prev from orders window w as (partition by o_custkey order by o_orderdate)")
+@query("""
+select o_orderkey, rank() over w as r, dense_rank() over w as dr, row_number() over (partition by o_custkey order by o_orderdate,
+o_orderkey) as rn, lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as prev from orders
+window w as (partition by o_custkey order by o_orderdate)
+""")
 def ext_ranks(spark: SparkSession, d: str) -> DataFrame:
     w, u = Window.partitionBy("o_custkey").orderBy("o_orderdate"), Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     return table(spark, d, "orders").select("o_orderkey", F.rank().over(w).cast("long").alias("r"), F.dense_rank().over(w).cast("long").alias("dr"), F.row_number().over(u).cast("long").alias("rn"), F.lag("o_orderkey").over(u).alias("prev"))
 
 
-@query("select event_id, max(value) over (partition by user_id order by ts, event_id rows between 2 preceding and current row) as max3, count(*) over (partition by user_id order by ts, event_id) as upto from events")
+@query("""
+select event_id, max(value) over (partition by user_id order by ts, event_id rows between 2 preceding and current row) as max3,
+count(*) over (partition by user_id order by ts, event_id) as upto from events
+""")
 def ext_frames(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return table(spark, d, "events").select("event_id", F.max("value").over(w.rowsBetween(-2, 0)).alias("max3"), F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
@@ -119,7 +136,10 @@ def ext_date_trunc(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("with t as (select c_nationkey, max(c_acctbal) as m from customer group by 1) select n_name, m as top_balance from t join nation on n_nationkey = c_nationkey where m > (select avg(c_acctbal) from customer)")
+@query("""
+with t as (select c_nationkey, max(c_acctbal) as m from customer group by 1) select n_name, m as top_balance from t
+join nation on n_nationkey = c_nationkey where m > (select avg(c_acctbal) from customer)
+""")
 def ext_sql_subquery(spark: SparkSession, d: str) -> DataFrame:
     """SQL text with a common table expression and a scalar subquery."""
     return spark.sql(
@@ -154,7 +174,10 @@ class _Letters:
             yield i, c
 
 
-@query("with n as (select n_nationkey, n_name, unnest(range(length(n_name))) as i from nation) select n_nationkey, cast(i as bigint) as place, substr(n_name, cast(i + 1 as bigint), 1) as letter from n")
+@query("""
+with n as (select n_nationkey, n_name, unnest(range(length(n_name))) as i from nation) select n_nationkey,
+cast(i as bigint) as place, substr(n_name, cast(i + 1 as bigint), 1) as letter from n
+""")
 def ext_udtf(spark: SparkSession, d: str) -> DataFrame:
     """A table function in Python, beside each row of a table."""
     letters = F.udtf(_Letters, returnType="place long, letter string")
@@ -173,7 +196,10 @@ def ext_dates(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("select l_returnflag, abs(approx - exact) <= 0.06 * exact as near from (select l_returnflag, count(distinct l_partkey) as approx, count(distinct l_partkey) as exact from lineitem group by 1)")
+@query("""
+select l_returnflag, abs(approx - exact) <= 0.06 * exact as near from (select l_returnflag, count(distinct l_partkey) as approx,
+count(distinct l_partkey) as exact from lineitem group by 1)
+""")
 def ext_approximate(spark: SparkSession, d: str) -> DataFrame:
     """A sketch of distinct values, whose error is held against the exact count."""
     t = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("approx"), F.count_distinct("l_partkey").alias("exact"))

@@ -42,7 +42,10 @@ def sample_key(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", smp.sample_key(F.col("url")).alias("key"))
 
 
-@query("select cast(doc_id as varchar) as sample_id, cast(toxic as bigint) as label_value, case when toxic = 1 then 'toxic' else 'clean' end as label_name, cast(toxic as double) as toxicity from labels")
+@query("""
+select cast(doc_id as varchar) as sample_id, cast(toxic as bigint) as label_value,
+case when toxic = 1 then 'toxic' else 'clean' end as label_name, cast(toxic as double) as toxicity from labels
+""")
 def upsert_annotation(spark: SparkSession, d: str) -> DataFrame:
     """SMP-2: the second classification replaces the first, other annotations stay."""
     a = _annotated(spark, d).where("quality is not null")
@@ -51,7 +54,10 @@ def upsert_annotation(spark: SparkSession, d: str) -> DataFrame:
     return a.select("sample_id", "annotations.classification.label_value", "annotations.classification.label_name", F.col("annotations.sentiment.scores")["toxicity"].alias("toxicity"))
 
 
-@query("select cast(d.doc_id as varchar) as sample_id, l.doc_id is not null as has_classification, false as has_ocr from documents d left join labels l using (doc_id)")
+@query("""
+select cast(d.doc_id as varchar) as sample_id, l.doc_id is not null as has_classification, false as has_ocr from documents d left
+join labels l using (doc_id)
+""")
 def has_annotation(spark: SparkSession, d: str) -> DataFrame:
     """SMP-3."""
     a = F.col("annotations")
@@ -78,7 +84,10 @@ def label_lookup(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "labels").join(F.broadcast(names), "quality").select("doc_id", "label_name")
 
 
-@query("select doc_id, cast(quality as bigint) as label_value, case quality when 0 then 'poor' else 'good' end as label_name, cast(toxic as bigint) as word_label, case toxic when 0 then 'clean' else 'toxic' end as word_name from labels")
+@query("""
+select doc_id, cast(quality as bigint) as label_value, case quality when 0 then 'poor' else 'good' end as label_name,
+cast(toxic as bigint) as word_label, case toxic when 0 then 'clean' else 'toxic' end as word_name from labels
+""")
 def label_name_infer(spark: SparkSession, d: str) -> DataFrame:
     """SMP-9: label sets from a description of features, as a hub gives it."""
     found = smp.infer_labels({
@@ -108,7 +117,10 @@ def _four(df: DataFrame, box) -> DataFrame:
 _E = "(select vec_id, list_transform(embedding[1:4], lambda v: cast(v as double)) as b from embeddings)"
 
 
-@query(f"select vec_id, least(greatest(b[1] / 2e0, 0e0), 1e0) as b0, least(greatest(b[2] / 5e-1, 0e0), 1e0) as b1, least(greatest(b[3] / 2e0, 0e0), 1e0) as b2, least(greatest(b[4] / 5e-1, 0e0), 1e0) as b3 from {_E}")
+@query(f"""
+select vec_id, least(greatest(b[1] / 2e0, 0e0), 1e0) as b0, least(greatest(b[2] / 5e-1, 0e0), 1e0) as b1,
+least(greatest(b[3] / 2e0, 0e0), 1e0) as b2, least(greatest(b[4] / 5e-1, 0e0), 1e0) as b3 from {_E}
+""")
 def bbox_normalize(spark: SparkSession, d: str) -> DataFrame:
     """GEO-1."""
     return _four(_boxes(spark, d), geo.normalize(F.col("box"), F.lit(2.0), F.lit(0.5)))
@@ -142,7 +154,10 @@ def resize_dims(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", w.alias("width"), h.alias("height"))
 
 
-@query("select doc_id, cast(len(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda w: w <> '')) as bigint) as n_words, cast(len(string_split(text, chr(10))) as bigint) as n_lines from documents")
+@query("""
+select doc_id, cast(len(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda w: w <> '')) as bigint) as n_words,
+cast(len(string_split(text, chr(10))) as bigint) as n_lines from documents
+""")
 def words_from_text(spark: SparkSession, d: str) -> DataFrame:
     """ELM-1."""
     words = F.array_remove(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), "")
@@ -174,7 +189,10 @@ def joined_text(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.md5(elm.joined_text(items).cast("binary")).alias("joined_md5"))
 
 
-@query("select doc_id, cast(len(w) as bigint) as n, w[1] as first_word, w[-1] as last_word from (select doc_id, list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda w: w <> '') as w from documents)")
+@query("""
+select doc_id, cast(len(w) as bigint) as n, w[1] as first_word, w[-1] as last_word from (select doc_id,
+list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda w: w <> '') as w from documents)
+""")
 def word_texts(spark: SparkSession, d: str) -> DataFrame:
     """ELM-5."""
     w = F.transform(elm.at(elm.flat_words(F.array_remove(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), "")), "word"), lambda e: e["text"])
@@ -220,7 +238,10 @@ def validate_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     return elm.dangling(broken).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_bad"))
 
 
-@query("select doc_id, md5(case when doc_id % 3 = 0 then text else nullif(array_to_string(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda w: w <> ''), ' '), '') end) as content_md5 from documents")
+@query("""
+select doc_id, md5(case when doc_id % 3 = 0 then text else nullif(array_to_string(list_filter(string_split(replace(text, chr(10),
+' '), ' '), lambda w: w <> ''), ' '), '') end) as content_md5 from documents
+""")
 def content_text_whole(spark: SparkSession, d: str) -> DataFrame:
     """ELM-10 over whole texts, as a digest."""
     own = F.when(F.col("doc_id") % 3 == 0, F.col("text"))
@@ -231,7 +252,12 @@ def content_text_whole(spark: SparkSession, d: str) -> DataFrame:
 _CENTRES = "(select user_id, event_id, value as cx, cast(event_id % 97 as double) as cy from events)"
 
 
-@query(f"with l as (select generate_series as line_id, [cast(generate_series * 10 as double), cast(generate_series as double), cast(generate_series * 10 + 60 as double), cast(generate_series + 50 as double)] as b from generate_series(0, 19)) select c.user_id, c.event_id as word_id, min(l.line_id) as line_id from {_CENTRES} c left join l on cx between b[1] and b[3] and cy between b[2] and b[4] group by 1, 2")
+@query(f"""
+with l as (select generate_series as line_id, [cast(generate_series * 10 as double), cast(generate_series as double),
+cast(generate_series * 10 + 60 as double), cast(generate_series + 50 as double)] as b from generate_series(0, 19))
+select c.user_id, c.event_id as word_id, min(l.line_id) as line_id from {_CENTRES} c left
+join l on cx between b[1] and b[3] and cy between b[2] and b[4] group by 1, 2
+""")
 def word_line_assign(spark: SparkSession, d: str) -> DataFrame:
     """EXT-3, IMP-3: point in box, first line wins."""
     ev = table(spark, d, "events").select("user_id", F.col("event_id").alias("word_id"), F.col("value").alias("cx"), (F.col("event_id") % 97).cast("double").alias("cy"))
@@ -255,7 +281,10 @@ def html_elements(spark: SparkSession, d: str) -> DataFrame:
     return df.select("page_id", F.size("a").cast("long").alias("n_links"), F.get("a", F.lit(0)).alias("first_link"))
 
 
-@query("select cast(conv_id as varchar) as sample_id, count(*) as n_turns, string_agg(role, ',' order by turn) as roles, md5(string_agg(text, chr(10) order by turn)) as text_md5 from conversations group by conv_id")
+@query("""
+select cast(conv_id as varchar) as sample_id, count(*) as n_turns, string_agg(role, ',' order by turn) as roles,
+md5(string_agg(text, chr(10) order by turn)) as text_md5 from conversations group by conv_id
+""")
 def conversation_build(spark: SparkSession, d: str) -> DataFrame:
     """CNV-6."""
     c = cnv.build(table(spark, d, "conversations"))
@@ -263,7 +292,10 @@ def conversation_build(spark: SparkSession, d: str) -> DataFrame:
     return c.select("sample_id", F.size("turns").cast("long").alias("n_turns"), F.array_join(part("role"), ",").alias("roles"), F.md5(F.array_join(part("text"), "\n").cast("binary")).alias("text_md5"))
 
 
-@query("select cast(conv_id as varchar) as sample_id, count(*) filter (role = 'user') as n_turns, md5(coalesce(string_agg(text, chr(10) order by turn) filter (role = 'user'), '')) as text_md5 from conversations group by conv_id")
+@query("""
+select cast(conv_id as varchar) as sample_id, count(*) filter (role = 'user') as n_turns, md5(coalesce(string_agg(text, chr(10)
+order by turn) filter (role = 'user'), '')) as text_md5 from conversations group by conv_id
+""")
 def conversation_seed(spark: SparkSession, d: str) -> DataFrame:
     """CNV-1."""
     c = cnv.build(table(spark, d, "conversations")).withColumn("turns", cnv.seed(F.col("turns")))
@@ -277,7 +309,10 @@ def seed_valid(spark: SparkSession, d: str) -> DataFrame:
     return c.select("sample_id", cnv.is_seed(F.col("turns")).alias("is_seed"), cnv.is_seed(cnv.seed(F.col("turns"))).alias("seed_is_seed"))
 
 
-@query("select conv_id, turn, case when turn % 2 = 0 then 'turn' else 'tool_result' end as type, role, case when turn % 2 = 0 then text end as text, case when turn % 2 = 1 then text end as content from conversations")
+@query("""
+select conv_id, turn, case when turn % 2 = 0 then 'turn' else 'tool_result' end as type, role,
+case when turn % 2 = 0 then text end as text, case when turn % 2 = 1 then text end as content from conversations
+""")
 def turn_codec(spark: SparkSession, d: str) -> DataFrame:
     """CNV-3: a missing tag means a turn."""
     even = F.col("turn") % 2 == 0
@@ -373,7 +408,11 @@ def close_match_hint(spark: SparkSession, d: str) -> DataFrame:
     return m.join(F.broadcast(best), F.col("dist") == F.col("best")).select("p_name", "dist")
 
 
-@query("select doc_id, case when doc_id % 3 = 0 then 'lines' else 'words' end as layer, cast(case when doc_id % 3 = 0 then len(string_split(text, chr(10))) else len(string_split(text, ' ')) end as bigint) as n from documents")
+@query("""
+select doc_id, case when doc_id % 3 = 0 then 'lines' else 'words' end as layer,
+cast(case when doc_id % 3 = 0 then len(string_split(text, chr(10))) else len(string_split(text, ' ')) end as bigint) as n
+from documents
+""")
 def box_layer_choice(spark: SparkSession, d: str) -> DataFrame:
     """VIS-1, IMP-14."""
     words = F.when(F.col("doc_id") % 3 != 0, F.split("text", " "))

@@ -67,7 +67,10 @@ def view_limit_then_filter(spark: SparkSession, d: str) -> DataFrame:
     return _view(spark, d).limit(20).filter("lang = 'en'").frame
 
 
-@query("select doc_id as id, row_number() over (order by doc_id) - 1 as _pos from documents union all select item_id, (select count(*) from documents) + row_number() over (order by item_id) - 1 from benchmark")
+@query("""
+select doc_id as id, row_number() over (order by doc_id) - 1 as _pos from documents union all select item_id, (select count(*)
+from documents) + row_number() over (order by item_id) - 1 from benchmark
+""")
 def view_concat(spark: SparkSession, d: str) -> DataFrame:
     """VIEW-6, IMP-8."""
     a = View.of(table(spark, d, "documents").select(F.col("doc_id").alias("id")), "id")
@@ -94,20 +97,30 @@ def view_shuffle_numpy(spark: SparkSession, d: str) -> DataFrame:
     return _view(spark, d).shuffle(7, exact=True).frame
 
 
-@query("select doc_id, case when doc_id % 10 < 8 then 'train' when doc_id % 10 = 8 then 'validation' else 'test' end as split, cast(row_number() over (order by doc_id) - 1 as bigint) // 128 + 1 as shard from documents")
+@query("""
+select doc_id, case when doc_id % 10 < 8 then 'train' when doc_id % 10 = 8 then 'validation' else 'test' end as split,
+cast(row_number() over (order by doc_id) - 1 as bigint) // 128 + 1 as shard from documents
+""")
 def shard_assign(spark: SparkSession, d: str) -> DataFrame:
     """SNK-5."""
     return _view(spark, d).frame.select("doc_id", shd.split_of(F.col("doc_id")).alias("split"), (F.floor(F.col(POS) / 128) + 1).alias("shard"))
 
 
-@query("with s as (select l_suppkey as shard, count(*) as n from lineitem group by 1), b as (select shard, sum(n) over (order by shard) - n as lo, sum(n) over (order by shard) as hi from s), i as (select o_orderkey as idx from orders) select idx, shard, cast(idx - lo as bigint) as inner from i join b on idx >= lo and idx < hi")
+@query("""
+with s as (select l_suppkey as shard, count(*) as n from lineitem group by 1), b as (select shard, sum(n)
+over (order by shard) - n as lo, sum(n) over (order by shard) as hi from s), i as (select o_orderkey as idx from orders)
+select idx, shard, cast(idx - lo as bigint) as inner from i join b on idx >= lo and idx < hi
+""")
 def shard_locate(spark: SparkSession, d: str) -> DataFrame:
     """SRC-4, IMP-5: global index to shard and place."""
     shards = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("shard")).agg(F.count(F.lit(1)).alias("nsamples"))
     return shd.locate(table(spark, d, "orders").select(F.col("o_orderkey").alias("idx")), shards)
 
 
-@query("select case when doc_id % 10 < 8 then 'train' when doc_id % 10 = 8 then 'validation' else 'test' end as split, count(*) as nsamples, cast(sum(n_chars) as bigint) as nbytes from documents group by 1")
+@query("""
+select case when doc_id % 10 < 8 then 'train' when doc_id % 10 = 8 then 'validation' else 'test' end as split,
+count(*) as nsamples, cast(sum(n_chars) as bigint) as nbytes from documents group by 1
+""")
 def split_info(spark: SparkSession, d: str) -> DataFrame:
     """AGG-1, AGG-2."""
     return shd.split_info(table(spark, d, "documents").withColumn("split", shd.split_of(F.col("doc_id"))), F.col("n_chars"))
@@ -120,7 +133,11 @@ def split_scan(spark: SparkSession, d: str) -> DataFrame:
     return readers.split(rows, "test").select("doc_id", "text")
 
 
-@query("with s as (select (row_number() over (order by doc_id) - 1) // 64 as b, n_chars from documents), t as (select b, count(*) filter (n_chars > 3000) as n, coalesce(cast(sum(n_chars) filter (n_chars > 3000) as bigint), 0) as nbytes from s group by b) select row_number() over (order by b) as shard, n as nsamples, nbytes from t where n > 0")
+@query("""
+with s as (select (row_number() over (order by doc_id) - 1) // 64 as b, n_chars from documents), t as (select b,
+count(*) filter (n_chars > 3000) as n, coalesce(cast(sum(n_chars) filter (n_chars > 3000) as bigint), 0) as nbytes from s
+group by b) select row_number() over (order by b) as shard, n as nsamples, nbytes from t where n > 0
+""")
 def finalized_shards(spark: SparkSession, d: str) -> DataFrame:
     """AGG-3."""
     v = _view(spark, d).frame
@@ -161,7 +178,11 @@ def content_hash(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("page_id", sha.alias("sha"), F.concat(F.substring(sha, 1, 2), F.lit("/"), sha).alias("artifact"), F.col("path").isNotNull().alias("hoisted"))
 
 
-@query("with r as (select lang, doc_id // 1000 as run, count(*) as n, md5(coalesce(string_agg(md5(text), '' order by doc_id), '')) as h from documents group by 1, 2) select lang, cast(sum(n) as bigint) as n_parts, md5(string_agg(h, '' order by run)) as merged from r group by lang")
+@query("""
+with r as (select lang, doc_id // 1000 as run, count(*) as n, md5(coalesce(string_agg(md5(text), '' order by doc_id), '')) as h
+from documents group by 1, 2) select lang, cast(sum(n) as bigint) as n_parts, md5(string_agg(h, '' order by run)) as merged from r
+group by lang
+""")
 def merge_parts_whole(spark: SparkSession, d: str) -> DataFrame:
     """SRC-17, IMP-13 over whole texts: digests of the parts in the order of their number, joined by runs of 1000 numbers and these in order."""
     part = F.struct(F.col("doc_id").alias("i"), F.md5(F.col("text").cast("binary")).alias("t"))
@@ -191,7 +212,10 @@ def jsonl_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_jsonl(spark, path, df.schema)
 
 
-@query("select doc_id, split, text from (select doc_id, text, case when doc_id % 10 < 8 then 'train' when doc_id % 10 = 8 then 'validation' else 'test' end as split from documents)")
+@query("""
+select doc_id, split, text from (select doc_id, text,
+case when doc_id % 10 < 8 then 'train' when doc_id % 10 = 8 then 'validation' else 'test' end as split from documents)
+""")
 def split_sink_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """SNK-1, SNK-2, SNK-13: each split is written apart and appears when whole."""
     root = f"{scratch(spark)}/splits-{uuid.uuid4().hex}"
@@ -204,7 +228,10 @@ def split_sink_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query("select cast(doc_id as varchar) as sample_id, md5(text) as text_md5, case when doc_id % 10 < 8 then 'train' when doc_id % 10 = 8 then 'validation' else 'test' end as split from documents")
+@query("""
+select cast(doc_id as varchar) as sample_id, md5(text) as text_md5,
+case when doc_id % 10 < 8 then 'train' when doc_id % 10 = 8 then 'validation' else 'test' end as split from documents
+""")
 def cache_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """CAC-1, CAC-2: whole texts of all splits are cached, then reopened; the second build reads what the first has published."""
 
@@ -235,14 +262,20 @@ def shard_by_size(spark: SparkSession, d: str) -> DataFrame:
     return sinks.sized_shards(_view(spark, d).frame, F.col("n_chars"), 50, 20_000).select("doc_id", "shard")
 
 
-@query("select count(*) as n_shards, cast(sum(n) as bigint) as nsamples, cast(sum(b) as bigint) as nbytes from (select doc_id // 64 as s, count(*) as n, sum(n_chars) as b from documents group by 1)")
+@query("""
+select count(*) as n_shards, cast(sum(n) as bigint) as nsamples, cast(sum(b) as bigint) as nbytes from (select doc_id // 64 as s,
+count(*) as n, sum(n_chars) as b from documents group by 1)
+""")
 def write_totals(spark: SparkSession, d: str) -> DataFrame:
     """AGG-5."""
     shards = table(spark, d, "documents").groupBy(F.floor(F.col("doc_id") / 64).alias("shard")).agg(F.count(F.lit(1)).alias("nsamples"), F.sum("n_chars").alias("nbytes"))
     return shd.write_totals(shards)
 
 
-@query("select doc_id || '_' || (i - 1) as key, ls[i] as line from (select doc_id, string_split(text, chr(10)) as ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents where text is not null)")
+@query("""
+select doc_id || '_' || (i - 1) as key, ls[i] as line from (select doc_id, string_split(text, chr(10)) as ls, unnest(range(1,
+len(string_split(text, chr(10))) + 1)) as i from documents where text is not null)
+""")
 def one_to_many(spark: SparkSession, d: str) -> DataFrame:
     """SNK-6, IMP-9: a transform that gives a list of samples."""
     lines = F.transform(F.split("text", "\n"), lambda s: F.struct(s.alias("line")))
