@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import joins
+from ..operators.aggregates import medians
 from ..session import table
 from .registry import registrar
 
@@ -128,7 +129,10 @@ def ext_except(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select event_type, count(distinct user_id) as users, median(value) as middle from events group by 1")
 def ext_distinct_and_median(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), F.median("value").alias("middle"))
+    events = table(spark, d, "events")
+    middle = medians(events, "event_type", "value").select(F.col("event_type").alias("of"), F.col("median").alias("middle"))
+    users = events.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
+    return users.join(middle, F.col("event_type").eqNullSafe(F.col("of")), "left").drop("of")
 
 
 @query("select cast(date_trunc('day', ts) as varchar)[1:10] as day, event_type, count(*) as n from events group by 1, 2")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import geometry, samples
 from quillspark.operators import conversations, extract
+from quillspark.operators.aggregates import medians
 from quillspark.operators.views import View, compose
 from quillspark.plans import cache, config, transforms
 from quillspark.sources import readers, sinks
@@ -61,6 +62,16 @@ def test_view(spark):
     assert v.with_transform(twice).filter("y > 36").frame.orderBy("_pos").select("id", "_pos").collect() == [(18, 0), (19, 1)]
 
 
+def test_medians(spark):
+    rows = [("a", float(i * 7 % 101)) for i in range(101)] + [("b", 1.0)] * 50 + [("b", 3.0)] * 50 + [(None, 2.0), (None, 5.0), ("c", None), ("d", -4.0), ("d", None)]
+    df = spark.createDataFrame(rows, "kind string, v double").repartition(7)
+    got = {r.kind: r.median for r in medians(df, "kind", "v").collect()}
+    assert got == {"a": 50.0, "b": 2.0, None: 3.5, "d": -4.0}
+    assert medians(df.where("false"), "kind", "v").count() == 0
+    # columns may have the names that the operator uses itself
+    assert medians(df.select(F.col("kind").alias("part"), F.col("v").alias("g")), "part", "g").count() == 4
+
+
 @pytest.mark.parametrize(
     "bounds",
     [(None, None, -1), (-2, None, -3), (15, 3, -4), (3, 15, -1), (100, None, -7), (None, -100, -1), (-5, -1, None), (4, -4, 5), (18, 2, 1), (None, 100, 6)],
