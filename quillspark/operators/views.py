@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
@@ -23,15 +24,34 @@ def with_positions(df: DataFrame, *order: str) -> DataFrame:
     return rows.join(F.broadcast(before), "_part").withColumn(POS, F.col("_own") + F.col("_before")).select(*df.columns, POS)
 
 
+class Unplaced:
+    """Rows and their order (unique together); positions are made when first asked for, once for all views that share this."""
+
+    def __init__(self, df: DataFrame, order: tuple[str, ...]):
+        self.df, self.order = df, order
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return with_positions(self.df, *self.order)
+
+    def first(self, n: int) -> Unplaced:
+        """The first n rows: the least n of each task, and of these the least n, so that the others are neither sorted nor written."""
+        return Unplaced(self.df.orderBy(*self.order).limit(n), self.order)
+
+
 class View:
     """An ordered, immutable view of a DataFrame that has a dense position column. Views share their base; nothing runs until a frame is used."""
 
-    def __init__(self, base: DataFrame, transforms: tuple[Callable[[DataFrame], DataFrame], ...] = ()):
-        self.base, self.transforms = base, transforms
+    def __init__(self, base: DataFrame | Unplaced, transforms: tuple[Callable[[DataFrame], DataFrame], ...] = ()):
+        self._base, self.transforms = base, transforms
 
     @classmethod
     def of(cls, df: DataFrame, *order: str) -> View:
-        return cls(with_positions(df, *order))
+        return cls(Unplaced(df, order))
+
+    @property
+    def base(self) -> DataFrame:
+        return self._base.rows if isinstance(self._base, Unplaced) else self._base
 
     @property
     def frame(self) -> DataFrame:
@@ -42,11 +62,13 @@ class View:
         return out
 
     def with_transform(self, f: Callable[[DataFrame], DataFrame]) -> View:
-        return View(self.base, (*self.transforms, f))
+        return View(self._base, (*self.transforms, f))
 
     def limit(self, n: int) -> View:
         if n < 0:
             raise ValueError("a limit is not negative")
+        if isinstance(self._base, Unplaced) and n <= BROADCAST_ROWS:
+            return View(self._base.first(n), self.transforms)
         return View(self.base.where(F.col(POS) < n), self.transforms)
 
     def filter(self, predicate: Column | str) -> View:
@@ -88,7 +110,7 @@ class View:
         return self.frame.where(F.col(POS) == index % size)
 
     def __len__(self) -> int:
-        return self.base.count()
+        return (self._base.df if isinstance(self._base, Unplaced) else self._base).count()
 
     def shuffle(self, seed: int, exact: bool = False) -> View:
         """A permutation that the seed fixes. exact: numpy's default_rng(seed).permutation, made on the driver, for views of EXACT_ROWS rows at most."""

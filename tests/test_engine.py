@@ -62,6 +62,15 @@ def test_view(spark):
     assert v.with_transform(twice).filter("y > 36").frame.orderBy("_pos").select("id", "_pos").collect() == [(18, 0), (19, 1)]
 
 
+def test_a_limit_places_only_its_rows(spark):
+    v = View.of(spark.range(100, -100, -1).repartition(5), "id")
+    few = v.limit(3)
+    assert [tuple(r) for r in few.frame.orderBy("_pos").collect()] == [(-99, 0), (-98, 1), (-97, 2)] and len(few) == 3
+    assert "rows" not in vars(v._base) and len(v) == 200
+    assert v.limit(0).frame.count() == 0 and v.limit(500).frame.count() == 200
+    assert v.limit(10).limit(4)[-1].first().id == -96 and v.with_transform(lambda d: d).base is v.base
+
+
 def test_medians(spark):
     rows = [("a", float(i * 7 % 101)) for i in range(101)] + [("b", 1.0)] * 50 + [("b", 3.0)] * 50 + [(None, 2.0), (None, 5.0), ("c", None), ("d", -4.0), ("d", None)]
     df = spark.createDataFrame(rows, "kind string, v double").repartition(7)
