@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ from pyspark.sql.column import Column
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BATCH_MB, BATCH_KEY = 4, "spark.sql.execution.arrow.maxBytesPerBatch"
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_dirs: dict[str, str] = {}
 _written: list[str] = []
 _kept: dict[tuple[str, str], object] = {}
@@ -42,12 +44,29 @@ def staged_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+@contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go when it ends. Else they stay until the driver happens to collect its garbage, which it does the less often
+    for each GB the longer its tasks run, so that those of many steps lie on the disks at once."""
+    before = spark.conf.get(CLEANUP_KEY, None)
+    spark.conf.set(CLEANUP_KEY, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP_KEY)
+        else:
+            spark.conf.set(CLEANUP_KEY, before)
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, and a lost executor costs no rerun of what is above.
+    """Write df to the shared folder and read it back: cuts lineage, and a lost executor costs no rerun of what is above. The shuffles of the write are
+    not read again, so their files go with it.
 
     The tables stay, as results are read from them when they are used; `drop_staged` removes them when the results have been written."""
     path = staged_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    with shuffles_end(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.column import Column
 
-from .common import free_name, lean, slices, staged, thin_batches
+from .common import free_name, lean, shuffles_end, slices, staged, thin_batches
 from .graph import components
 
 WORDS, PERCENT = 5, 80
@@ -177,7 +177,8 @@ def _sum_blocks(width: str):
 def _levels(marked: DataFrame) -> bytes:
     """Rarity level of each sketch cell: 0 up to four times the mean, then one more for each doubling. 2**SKETCH_BITS bytes at any size."""
     once = marked.where("block is not null").select("block", "bits").mapInArrow(_sum_blocks("<u2"), "block int, bits binary")
-    rows = once.repartition(SKETCH_BLOCKS, "block").mapInArrow(_sum_blocks("<u4"), "block int, bits binary").collect()
+    with shuffles_end(marked.sparkSession):
+        rows = once.repartition(SKETCH_BLOCKS, "block").mapInArrow(_sum_blocks("<u4"), "block int, bits binary").collect()
     cells = np.zeros((SKETCH_BLOCKS, (1 << SKETCH_BITS) // SKETCH_BLOCKS))
     for r in rows:
         cells[r["block"]] = np.frombuffer(bytes(r["bits"]), "<u4")

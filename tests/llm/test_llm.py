@@ -597,3 +597,23 @@ def test_staged_tables_can_be_dropped(spark):
 
     paths = [Path(p.removeprefix("file://")) for p in common._written]
     assert paths and all(p.exists() for p in paths) and common.drop_staged(spark) == len(paths) and not any(p.exists() for p in paths)
+
+
+def test_shuffle_files_go_with_the_write_that_made_them(spark):
+    import os
+    import time
+
+    from quillspark.llm import common
+
+    def shuffled():
+        dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {f for d in dirs for _, _, names in os.walk(d.getPath()) for f in names if f.startswith("shuffle_")}
+
+    before, setting = shuffled(), spark.conf.get(common.CLEANUP_KEY, None)
+    rows = spark.range(1000).withColumn("k", F.col("id") % 7)
+    out = common.staged(rows.join(rows.groupBy("k").count(), "k").repartition(3, "id"), "shuffled")
+    ends = time.time() + 10
+    while shuffled() - before and time.time() < ends:
+        time.sleep(0.2)
+    assert not shuffled() - before and spark.conf.get(common.CLEANUP_KEY, None) == setting
+    assert out.count() == 1000 and out.agg(F.sum("count")).first()[0] == 6 * 143 * 143 + 142 * 142
