@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ BATCH_MB, BATCH_KEY = 4, "spark.sql.execution.arrow.maxBytesPerBatch"
 CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_dirs: dict[str, str] = {}
 _written: list[str] = []
+_places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _kept: dict[tuple[str, str], object] = {}
 
 
@@ -63,19 +65,35 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, and a lost executor costs no rerun of what is above. The shuffles of the write are
     not read again, so their files go with it.
 
-    The tables stay, as results are read from them when they are used; `drop_staged` removes them when the results have been written."""
+    The tables stay, as results are read from them when they are used; `unstage` removes those that only later tables were made from, `drop_staged` all
+    of them when the results have been written."""
     path = staged_path(df.sparkSession, tag)
     with shuffles_end(df.sparkSession):
         df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _places[out] = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def unstage(*frames: DataFrame) -> None:
+    """Delete the tables of frames that `staged` gave, once no result reads them: what was made from them must have been staged or collected."""
+    for df in frames:
+        path = _places.pop(df)
+        if path in _written:
+            _written.remove(path)
+            _delete(df.sparkSession, path)
 
 
 def drop_staged(spark: SparkSession) -> int:
     """Delete what this process has staged so far, once no result that reads it is needed; how many tables there were."""
     n = len(_written)
     while _written:
-        p = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(spark, _written.pop())
     return n
 
 

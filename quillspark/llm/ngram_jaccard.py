@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.column import Column
 
-from .common import free_name, lean, shuffles_end, slices, staged, thin_batches
+from .common import free_name, lean, shuffles_end, slices, staged, thin_batches, unstage
 from .graph import components
 
 WORDS, PERCENT = 5, 80
@@ -314,7 +314,7 @@ def _of_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets meet the threshold, by exact intersection of their sorted hash arrays."""
+    """The pairs whose sets meet the threshold, by exact intersection of their sorted hash arrays; staged."""
     need = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     texts = _of_classes(docs, reps.join(need, "cls", "left_semi"))
     arrays = staged(texts.mapInArrow(lean("ngram_jaccard", _arrays), "cls long, hashes binary").dropDuplicates(["cls"]), "arrays")
@@ -333,7 +333,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int)
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return wide.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
+    found = staged(wide.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long"), "links")
+    unstage(arrays)
+    return found
 
 
 def _salted(groups: DataFrame) -> DataFrame:
@@ -357,19 +359,22 @@ def ngram_jaccard_components(documents: DataFrame, percent: int = PERCENT) -> Da
     component_id is the smallest doc_id of the component; component names it too, also where no row of it has an id. Null, empty and blank texts have
     no shingles, null class_id and component, and are their own component. Repeated rows share a class; rows with the same doc_id and different
     texts, and rows without a doc_id, are treated by their texts. An empty table gives an empty result. Other columns are ignored.
+
+    Of what is staged on the way, only tables of a few numbers for each row, class or link are left, from which the result is read.
     """
     docs = thin_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     marked = staged(docs.mapInArrow(lean("ngram_jaccard", _signatures), _MARKED_TYPE), "signatures")
-    rows = marked.where("block is null")
     levels = _levels(marked)
     # classes are numbered, as numbers are half as wide as their hashes and never collide
     spot = F.struct("doc_id", "th")
-    reps = rows.where("h1 is not null").groupBy("h1", "h2").agg(
+    reps = marked.where("block is null and h1 is not null").groupBy("h1", "h2").agg(
         F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), spot)), F.min(spot)).alias("r"), F.count(F.lit(1)).alias("class_rows"), F.any_value("bits").alias("bits")
     )
-    reps = staged(reps.select(F.monotonically_increasing_id().alias("cls"), "h1", "h2", "r.doc_id", "r.th", "class_rows", "bits"), "classes")
-    bits = reps.select("cls", "bits")
+    wide = staged(reps.select(F.monotonically_increasing_id().alias("cls"), "h1", "h2", "r.doc_id", "r.th", "class_rows", "bits"), "bitmaps")
+    rows = staged(marked.where("block is null").select("doc_id", "th", "n_shingles", "h1", "h2"), "rows")
+    unstage(marked)
+    reps, bits = staged(wide.drop("bits"), "classes"), wide.select("cls", "bits")
 
     prefixes = _of_classes(docs, reps).mapInArrow(lean("ngram_jaccard", _prefixes(levels, percent)), "key long, cls long, of long")
     # a key of one class alone links nothing; rows of hot keys, spread by salt, are kept without that test
@@ -394,17 +399,19 @@ def ngram_jaccard_components(documents: DataFrame, percent: int = PERCENT) -> Da
     groups = groups.where("size > 1 and host = 0").groupBy("band", "size", "x", "y").agg(F.min(F.struct("hot", "key")).alias("k"))
     groups = _salted(groups.select("k.key", "band", "k.hot", "size"))
     member = staged(banded.join(groups, ["key", "band", "salt"]), "members")
+    unstage(hits)
 
     # large groups are dealt twice: each dealing links what meets in a tile, and both together link mutual near copies across tiles
     dealings = F.when(F.col("size") > TILE, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     first = member.withColumn("t2", F.explode(dealings))
     first = first.withColumns({"t1": _dealt(_tiles_for(F.col("size")), "key", "t2"), "comp": F.col("cls"), "side": F.lit(0)}).join(bits, "cls")
     tried = staged(_tile_order(first, True, percent), "pairs")
-    links = staged(_verified(tried, docs, reps, percent), "links")
+    links = _verified(tried, docs, reps, percent)
     comp = components(links)
 
     named = member.join(comp.withColumnRenamed("node", "cls").withColumnRenamed("root", "comp"), "cls", "left")
     named = staged(named.withColumn("comp", F.coalesce("comp", "cls")), "named")
+    unstage(member)
     spread = named.groupBy("key", "band", "comp").agg(F.count(F.lit(1)).alias("c"), (F.max("salt") > 0).alias("hot"))
     spread = spread.groupBy("key", "band").agg(F.max(F.struct("c", "comp")).alias("major"), F.count(F.lit(1)).alias("comps"), F.max("hot").alias("hot")).where("comps > 1")
     spread = _salted(spread.select("key", "band", F.col("major.comp").alias("big"), F.col("major.c").alias("big_n"), "hot"))
@@ -416,10 +423,12 @@ def ngram_jaccard_components(documents: DataFrame, percent: int = PERCENT) -> Da
     facing = F.sequence(F.lit(0), F.when(one, F.lit(1)).when(F.col("is_big"), F.col("others")).otherwise(F.col("others") + F.col("bigs")) - 1)
     second = open_.withColumn("o", F.explode(facing)).withColumns({"t1": F.least("k", "o"), "t2": F.greatest("k", "o"), "side": F.col("k")}).join(bits, "cls")
     more = staged(_tile_order(second, False, percent).join(tried, ["a", "b"], "left_anti"), "pairs2")
+    unstage(named, tried, wide)
     late = _verified(more, docs, reps, percent)
     root = components(staged(links.unionByName(late), "all_links")).withColumnRenamed("node", "cls")
+    unstage(more, links, late)
 
-    owned = reps.drop("bits").join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    owned = reps.join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     lowest = owned.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     found = owned.join(lowest, "root").select("h1", "h2", "cls", "component_id", "class_rows", "root")
     cols = [

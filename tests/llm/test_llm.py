@@ -617,3 +617,21 @@ def test_shuffle_files_go_with_the_write_that_made_them(spark):
         time.sleep(0.2)
     assert not shuffled() - before and spark.conf.get(common.CLEANUP_KEY, None) == setting
     assert out.count() == 1000 and out.agg(F.sum("count")).first()[0] == 6 * 143 * 143 + 142 * 142
+
+
+def test_tables_on_the_way_to_components_go(spark):
+    from pathlib import Path
+
+    from quillspark.llm import common
+
+    common.drop_staged(spark)
+    text = [f"w{i}" for i in range(40)]
+    texts = [" ".join(text), " ".join(text[:-1] + ["z"]), " ".join(text), "other words than these", "", None]
+    for some in (texts, texts[3:]):
+        out = ngram_jaccard.ngram_jaccard_components(frame(spark, some))
+        left = {Path(p).name.split("-")[0] for p in common._written}
+        assert left <= {"rows", "classes", "all_links", "edges", "step", "labels"} and {"rows", "classes"} <= left
+        assert not set(out.columns) & {"bits", "hashes"}
+        found = {r["doc_id"]: r["component_id"] for r in out.collect()}
+        assert len(found) == len(some) and (some is not texts or sorted(found.values())[:3] == [min(found)] * 3)
+        assert all(Path(p.removeprefix("file://")).exists() for p in common._written)
