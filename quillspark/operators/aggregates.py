@@ -25,3 +25,14 @@ def medians(df: DataFrame, group: str, value: str) -> DataFrame:
     holds = lambda rank: (F.col("upto") - F.col("c") <= rank) & (rank < F.col("upto"))
     middle = ranked.where(holds(F.floor((F.col("total") - 1) / 2)) | holds(F.floor(F.col("total") / 2)))
     return middle.groupBy("g").agg(((F.min("v") + F.max("v")) / 2).alias("median")).withColumnRenamed("g", group)
+
+
+def distinct_counts(df: DataFrame, group: str, value: str, error: float = 0.05) -> DataFrame:
+    """group, approx, exact (long): the number of different values of each group, by a sketch with that relative standard deviation and as it is.
+
+    Pairs of group and value are found first, as plain rows. Spark's own plan for both aggregates in one call keeps a sketch for each pair (3.3 KB at 0.02)
+    and shuffles and spills those; here a task keeps one for each group. A sketch holds maxima of hashes, so that of the pairs is that of the rows. Null
+    values don't count, though groups without others have a row; a null group is a group."""
+    pairs = df.select(F.col(group).alias("g"), F.col(value).alias("v")).distinct()
+    counts = pairs.groupBy("g").agg(F.approx_count_distinct("v", error).alias("approx"), F.count("v").alias("exact"))
+    return counts.withColumnRenamed("g", group)

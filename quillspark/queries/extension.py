@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import joins
-from ..operators.aggregates import medians
+from ..operators.aggregates import distinct_counts, medians
 from ..session import table
 from .registry import registrar
 
@@ -206,5 +206,5 @@ count(distinct l_partkey) as exact from lineitem group by 1)
 """)
 def ext_approximate(spark: SparkSession, d: str) -> DataFrame:
     """A sketch of distinct values, whose error is held against the exact count."""
-    t = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("approx"), F.count_distinct("l_partkey").alias("exact"))
+    t = distinct_counts(table(spark, d, "lineitem"), "l_returnflag", "l_partkey", 0.02)
     return t.select("l_returnflag", (F.abs(F.col("approx") - F.col("exact")) <= 0.06 * F.col("exact")).alias("near"))

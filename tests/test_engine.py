@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import geometry, samples
 from quillspark.operators import conversations, extract
-from quillspark.operators.aggregates import medians
+from quillspark.operators.aggregates import distinct_counts, medians
 from quillspark.operators.views import View, compose
 from quillspark.plans import cache, config, transforms
 from quillspark.sources import readers, sinks
@@ -81,6 +81,26 @@ def test_medians(spark):
     assert medians(df.select(F.col("kind").alias("part"), F.col("v").alias("g")), "part", "g").count() == 4
 
 
+def test_distinct_counts(spark):
+    rows = [("a", i * 7 % 5000) for i in range(20000)] + [("b", 1)] * 90 + [("b", None), ("c", None), (None, 4), (None, 4), (None, 5)]
+    df = spark.createDataFrame(rows, "kind string, v long").repartition(7)
+    got = {r.kind: (r.approx, r.exact) for r in distinct_counts(df, "kind", "v", 0.02).collect()}
+    assert {k: exact for k, (_, exact) in got.items()} == {"a": 5000, "b": 1, "c": 0, None: 2}
+    # the sketch is the one of all rows
+    assert {k: approx for k, (approx, _) in got.items()} == {r.kind: r.n for r in df.groupBy("kind").agg(F.approx_count_distinct("v", 0.02).alias("n")).collect()}
+    assert distinct_counts(df.where("false"), "kind", "v").count() == 0
+    # columns may have the names that the operator uses itself
+    assert distinct_counts(df.select(F.col("kind").alias("v"), F.col("v").alias("g")), "v", "g").count() == 4
+
+
+def test_no_sketch_for_each_value(spark):
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["ext_approximate"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    keys = [line.partition("keys=[")[2].partition("]")[0] for line in plan.splitlines() if "approx_count_distinct" in line and "keys=[" in line]
+    assert keys and all("," not in k for k in keys), keys
+
+
 @pytest.mark.parametrize(
     "bounds",
     [(None, None, -1), (-2, None, -3), (15, 3, -4), (3, 15, -1), (100, None, -7), (None, -100, -1), (-5, -1, None), (4, -4, 5), (18, 2, 1), (None, 100, 6)],
